@@ -13,7 +13,7 @@ OWN = (*BASE, "kept", "n_lines", "n_bad_lines", "lost_chars", "line_chars", "cle
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "sign up for our newsletter", "skip to content")
 
 #: Drops the six blanks from a text.
-_BARE = r"translate({}, ' \t\n\u000b\f\r', '')"
+_BARE = r"translate({}, ' \t\n\u000b\u000c\r', '')"
 
 
 def line_fails(line: str = "x", *, symbol_percent: int = 10, shout_percent: int = 60, pipes: int = 3) -> str:
