@@ -27,7 +27,7 @@ class ChunkIds(dict):
     ids of its chunks one after another.
     """
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -45,6 +45,10 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 
+#: Chunk tables of a worker process by definition, kept between its tasks.
+_KEPT: dict[str, ChunkIds] = {}
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: a document's ids and `end_id`, cut every `capacity` ids.
 
@@ -54,7 +58,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     end = np.array([end_id], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = ChunkIds(shared.value)
+        chunks = _KEPT.get(shared.value) or _KEPT.setdefault(shared.value, ChunkIds(shared.value))
         for batch in batches:
             rows = []
             for key, value in zip(batch["doc_id"], batch["text"], strict=True):

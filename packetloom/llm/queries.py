@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import packing, quality, sharding, simhash, toxicity, urls
+from packetloom.llm import packing, quality, sharding, simhash, toxicity, unigram, urls
 from packetloom.llm.common import table
 
 
@@ -41,6 +41,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(docs).select("doc_id", *quality.BASE, "kept", "n_lines", "n_bad_lines", "lost_chars")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.count_tokens(docs, unigram.rank_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = unigram.encode_texts(docs, unigram.rank_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), unigram.ids_digest().alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_counts": op8_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
