@@ -24,7 +24,8 @@ class ChunkIds(dict):
     """Ids of texts between blanks as little-endian bytes; forgets all when full.
 
     Blanks part the tokens of a tokenizer that drops white space, so a text's ids are the
-    ids of its chunks one after another.
+    ids of its chunks one after another. Letters and a comma or full stop behind them are
+    tokens apart, so such a chunk is put together from its word and its mark.
     """
 
     def __init__(self, definition: str, most: int = 800_000):
@@ -36,13 +37,22 @@ class ChunkIds(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        word, end = chunk.decode(), chunk[-1:]
+        if end in b",." and word[:-1].isalpha():
+            ids = self[chunk[:-1]] + self[end]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        """The tokenizer lower-cases itself; doing so before finds more chunks in the table.
+
+        A special token's name must keep its case, so a text that may hold one is left as it is.
+        """
+        data = (text or "").encode()
+        return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
 
 #: Chunk tables of a worker process by definition, kept between its tasks.
