@@ -65,7 +65,8 @@ def clean_lines(docs: DataFrame, *, text: str = "text", min_words: int = 50, rep
     )
     step = step.selectExpr("*", f"(n_words < {min_words} or 100 * n_repeat_words > {repeat_percent} * n_words) AS base_failed", "word_chars AS line_chars", "word_chars - good__ AS lost_chars")
     step = step.selectExpr("*", f"(not base_failed and 100 * lost_chars <= {lost_percent} * line_chars) AS kept", f"CASE WHEN `{text}` IS NOT NULL THEN array_join(g__, '\\n') END AS clean_text")
-    return step.select(*names, *OWN)
+    # A generator's columns keep a later filter from being pushed below and evaluated anew.
+    return step.select(*names, F.inline(F.array(F.struct(*OWN))))
 
 
 def quality_sql(documents: str = "documents", columns: str = "doc_id, {own}", where: str = "true") -> str:
