@@ -185,7 +185,7 @@ class Trie:
 class Encoder(dict):
     """For a segment: the ids of its best path as little-endian bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, trie: Trie, most: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, trie: Trie, most: int = 500_000):
         super().__init__()
         self.most, self.unknown, self.byte_ids = most, vocabulary.unknown_units, vocabulary.byte_ids
         self.units, self.trie = vocabulary.units, trie
@@ -269,8 +269,10 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), count(F.col(f"`{text}`")).alias("made")).select("doc_id", "made.*")
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of every whole text and the text that they decode to: doc_id, ids, decoded.
+def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_id", text: str = "text", slice_rows: int = 200) -> DataFrame:
+    """Ids of every whole text and the text that they decode to: doc_id, text, ids, decoded.
+
+    Results leave the worker every `slice_rows` rows, which bounds its memory.
 
     Null and empty texts have no ids and decode to an empty text. A text that holds the
     space marker itself decodes to spaces there, as the marking can't tell them apart.
@@ -278,15 +280,17 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_
     context = docs.sparkSession.sparkContext
     shared, trie = context.broadcast(vocabulary), context.broadcast(Trie(vocabulary))
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _kept("encode", shared.value, lambda: Encoder(shared.value, trie.value))
         breaks = shared.value.breaks
         for batch in batches:
-            ids = [np.frombuffer(b"".join(map(encoder.__getitem__, segments(t, breaks))), "<i4") for t in batch]
-            yield pd.DataFrame({"ids": ids, "decoded": [encoder.decode(i.tolist()) for i in ids]})
+            for at in range(0, len(batch), slice_rows):
+                part = batch.iloc[at : at + slice_rows]
+                ids = [np.frombuffer(b"".join(map(encoder.__getitem__, segments(t, breaks))), "<i4") for t in part["text"]]
+                yield part.assign(ids=ids, decoded=[encoder.decode(i.tolist()) for i in ids])
 
-    return docs.select("*", encode(F.col(f"`{text}`")).alias("made__")).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), "made__.*")
+    named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return named.mapInPandas(encode, "doc_id long, text string, ids array<int>, decoded string")
 
 
 def ids_digest(ids: str = "ids") -> Column:
