@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.functions.text import entropy, micros, percent_rank, u8, u16
+from packetloom.functions.text import entropy, percent_rank, u8, u16
 from packetloom.functions.protocols import modbus_columns, url_columns
-from packetloom.operators import mapping, metrics, prepare, rollups, windows
+from packetloom.operators import detectors, mapping, metrics, prepare, rollups, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,3 +391,16 @@ def url_tokens(spark, sf_dir):
 def byte_decode(spark, sf_dir):
     df = read(spark, sf_dir, "pages").select("page_id", F.encode("url", "UTF-8").alias("payload"))
     return modbus_columns(df, "payload").select("page_id", u16("payload", 0).alias("u16_0"), u8("payload", 7).alias("u8_7"), F.col("modbus_function_code").alias("function_code"), F.col("modbus_length_valid").alias("length_valid"))
+
+
+def _detect(name: str) -> Query:
+    def run(spark, sf_dir):
+        df = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        model = detectors.fit_detector(df, "embedding", detectors.DETECTORS[name](), "vec_id", 1000)
+        return detectors.score_detector(df, "embedding", model, "vec_id").select("vec_id", F.round("anomaly_score", 6).alias("anomaly_score"))
+
+    return run
+
+
+for _name in detectors.DETECTORS:
+    QUERIES[_name] = _detect(_name)

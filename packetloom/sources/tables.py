@@ -1,0 +1,55 @@
+"""Tables and JSON files by suffix."""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+
+FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".jsonl": "json", ".ndjson": "json"}
+
+
+def _format(path: str) -> str:
+    suffix = Path(path.rstrip("/")).suffix.lower()
+    if suffix not in FORMATS:
+        raise ValueError(f"unknown table format: {suffix or path}")
+    return FORMATS[suffix]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    kind = _format(path)
+    reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
+    return reader.format(kind).load(path)
+
+
+def write_table(df: DataFrame, path: str, *partitions: str) -> None:
+    """Writes a folder of part files; `partitions` become subfolders that later reads prune."""
+    writer = df.write.mode("overwrite").option("header", True)
+    (writer.partitionBy(*partitions) if partitions else writer).format(_format(path)).save(path)
+
+
+def write_json(payload: Any, path: str) -> None:
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps(payload, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+
+
+def deep_merge(base: dict, override: dict) -> dict:
+    """Nested mappings merge, all else is replaced."""
+    out = dict(base)
+    for key, value in override.items():
+        out[key] = deep_merge(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
+
+
+def capture_files(path: str) -> list[str]:
+    """A capture, or all direct captures of a folder in case-folded order of names."""
+    at = Path(path)
+    if at.is_file():
+        return [str(at)]
+    found = sorted((p for p in at.glob("*") if p.suffix.lower() in (".pcap", ".pcapng")), key=lambda p: p.name.casefold()) if at.is_dir() else []
+    if not found:
+        raise FileNotFoundError(f"no capture at {path}")
+    return [str(p) for p in found]
