@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.functions.text import entropy, u8, u16
 
@@ -143,7 +144,7 @@ def _lists(payload: bytes | None) -> list[str] | None:
     return found or None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def ssh_lists(payloads: pd.Series) -> pd.Series:
     return pd.Series([_lists(p) for p in payloads], dtype=object)
 
@@ -201,7 +202,7 @@ def dns_message(data: bytes | None) -> tuple[str | None, int | None, int | None]
     return name, kind, ttl
 
 
-@F.pandas_udf("qname string, qtype int, ttl long")
+@F.pandas_udf(T.StructType([T.StructField("qname", T.StringType()), T.StructField("qtype", T.IntegerType()), T.StructField("ttl", T.LongType())]))
 def dns_parts(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in payloads:
         out = pd.DataFrame([dns_message(p) for p in batch], columns=["qname", "qtype", "ttl"], dtype=object)
