@@ -15,9 +15,9 @@ TRIES = (1, 4, 16, 64)
 _EMPTY = "cast(array() AS array<bigint>)"
 
 
-def _cell(key: str, part: str) -> str:
-    """The place of a key in a part of its table: five bits further for each part."""
-    return f"cast(shiftright({key}, 5 * ({part}) + 3) & {PART - 1} AS int)"
+def _mask(key: str) -> str:
+    """SQL for the cells of a key in a table as bits: one of each part, by three bits of the key."""
+    return " | ".join(f"shiftleft(1, {PART * t} + cast(shiftright({key}, {5 * t + 3}) & {PART - 1} AS int))" for t in range(CELLS // PART))
 
 
 def _table(key: str, tables: int) -> str:
@@ -27,9 +27,9 @@ def _table(key: str, tables: int) -> str:
 def sketch(keys: str, tables: int, table: str = "0") -> str:
     """SQL for the cells of one table: number of keys, their exclusive-or, that of their checks."""
     own = keys if tables == 1 else f"filter({keys}, k -> {_table('k', tables)} = {table})"
-    inside = f"filter(own, k -> {_cell('k', f'j div {PART}')} = j % {PART})"
-    cell = f"aggregate({inside}, named_struct('n', 0, 'k', 0L, 'c', 0), (a, k) -> named_struct('n', a.n + 1, 'k', a.k ^ k, 'c', a.c ^ hash(k)))"
-    return f"transform(array({own}), own -> transform(sequence(0, {CELLS - 1}), j -> {cell}))[0]"
+    marked = f"transform({own}, k -> named_struct('k', k, 'h', hash(k), 'm', {_mask('k')}))"
+    cell = "aggregate(filter(own, x -> bit_get(x.m, j) = 1), named_struct('n', 0, 'k', 0L, 'c', 0), (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.k, 'c', a.c ^ x.h))"
+    return f"transform(array({marked}), own -> transform(sequence(0, {CELLS - 1}), j -> {cell}))[0]"
 
 
 def difference(left: str, right: str) -> str:
@@ -40,13 +40,14 @@ def peel(cells: str) -> str:
     """SQL that takes pure cells out until none is left: ok, and the keys of either side.
 
     Odd rounds list the keys of pure cells (one key by count and check), even rounds take
-    these out of every cell that has them.
+    these out of every cell that has them, or end the peeling if there are none.
     """
-    pure = "array_distinct(transform(filter(s.d, x -> abs(x.n) = 1 and x.c = hash(x.k)), x -> named_struct('n', x.n, 'k', x.k)))"
-    taken = f"transform(s.d, (x, j) -> aggregate(filter(s.q, q -> {_cell('q.k', f'j div {PART}')} = j % {PART}), x, (a, q) -> named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ hash(q.k))))"
-    none = "cast(array() AS array<struct<n: int, k: bigint>>)"
-    step = f"CASE WHEN r % 2 = 1 THEN named_struct('d', s.d, 'q', {pure}, 'o', s.o) WHEN size(s.q) = 0 THEN s ELSE named_struct('d', {taken}, 'q', {none}, 'o', concat(s.o, s.q)) END"
-    state = f"aggregate(sequence(1, {2 * ROUNDS}), named_struct('d', {cells}, 'q', {none}, 'o', {none}), (s, r) -> {step})"
+    kind = "struct<n: int, k: bigint, h: int, m: int>"
+    pure = f"array_distinct(transform(filter(s.d, x -> abs(x.n) = 1 and x.c = hash(x.k)), x -> named_struct('n', x.n, 'k', x.k, 'h', x.c, 'm', {_mask('x.k')})))"
+    taken = "transform(s.d, (x, j) -> aggregate(filter(s.q, q -> bit_get(q.m, j) = 1), x, (a, q) -> named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ q.h)))"
+    none = f"cast(array() AS array<{kind}>)"
+    step = f"CASE WHEN s.e THEN s WHEN r % 2 = 1 THEN named_struct('d', s.d, 'q', {pure}, 'o', s.o, 'e', false) WHEN size(s.q) = 0 THEN named_struct('d', s.d, 'q', s.q, 'o', s.o, 'e', true) ELSE named_struct('d', {taken}, 'q', {none}, 'o', concat(s.o, s.q), 'e', false) END"
+    state = f"aggregate(sequence(1, {2 * ROUNDS}), named_struct('d', {cells}, 'q', {none}, 'o', {none}, 'e', false), (s, r) -> {step})"
     return f"transform(array({state}), s -> named_struct('ok', forall(s.d, x -> x.n = 0 and x.k = 0), 'a', size(filter(s.o, q -> q.n = 1)), 'b', size(filter(s.o, q -> q.n = -1))))[0]"
 
 
@@ -62,17 +63,17 @@ def sentences(text: str) -> str:
     return f"transform(filter(split({text}, '[.!?\\\\n]+'), x -> trim(x) <> ''), x -> xxhash64(trim(x)))"
 
 
-def paragraphs(digests: str, level: str) -> str:
-    """SQL for distinct digests of paragraphs: runs of sentences up to one whose digest ends in
-    `level` zero bits. Cuts depend on the content, so an edit leaves the others as they are."""
-    ends = f"filter(sequence(0, size({digests}) - 1), i -> i = size({digests}) - 1 or ({digests}[i] & (shiftleft(1L, {level}) - 1)) = 0)"
+def paragraphs(digests: str, mask: str) -> str:
+    """SQL for distinct digests of paragraphs: runs of sentences up to one whose digest has none
+    of the mask's bits. Cuts depend on the content, so an edit leaves the others as they are."""
+    ends = f"filter(sequence(0, size({digests}) - 1), i -> ({digests}[i] & {mask}) = 0 or i = size({digests}) - 1)"
     run = f"xxhash64(slice({digests}, coalesce(get(e, n - 1), -1) + 2, i - coalesce(get(e, n - 1), -1)))"
     return f"CASE WHEN size({digests}) = 0 THEN {_EMPTY} ELSE array_distinct(transform(array({ends}), e -> transform(e, (i, n) -> {run}))[0]) END"
 
 
 def level_of(digests: str) -> str:
-    """About eight paragraphs for a text: the level rises with the number of sentences."""
-    return f"cast(greatest(0, floor(log2(greatest(size({digests}), 1) / 8))) AS int)"
+    """Five to ten paragraphs for a text: the level rises with the number of sentences."""
+    return f"cast(greatest(0, floor(log2(greatest(size({digests}), 1) / 5))) AS int)"
 
 
 def as_hex(cells: str, level: str) -> str:
@@ -80,7 +81,7 @@ def as_hex(cells: str, level: str) -> str:
     return f"concat(lpad(hex({level}), 2, '0'), array_join(transform({cells}, x -> concat(lpad(hex(x.n), 4, '0'), lpad(hex(x.k), 16, '0'), right(lpad(hex(x.c), 8, '0'), 8))), ''))"
 
 
-def likeness(left: str, right: str, level_left: str, level_right: str) -> str:
+def likeness(left: str, right: str, mask_left: str, mask_right: str) -> str:
     """SQL for the share of common paragraphs in all, from what peeling recovers.
 
     Both texts are cut at the lower of the two levels. Tables grow until peeling succeeds;
@@ -89,7 +90,7 @@ def likeness(left: str, right: str, level_left: str, level_right: str) -> str:
     a, b = "p.a", "p.b"
     tries = ", ".join(decode(a, b, n) for n in TRIES)
     exact = f"named_struct('a', size(array_except({a}, {b})), 'b', size(array_except({b}, {a})))"
-    cuts = f"named_struct('a', {paragraphs(left, f'least({level_left}, {level_right})')}, 'b', {paragraphs(right, f'least({level_left}, {level_right})')})"
+    cuts = f"named_struct('a', {paragraphs(left, f'least({mask_left}, {mask_right})')}, 'b', {paragraphs(right, f'least({mask_left}, {mask_right})')})"
     return f"transform(array({cuts}), p -> transform(array(coalesce({tries}, {exact})), d -> CASE WHEN size({a}) + d.b = 0 THEN 1D ELSE cast(size({a}) - d.a AS double) / (size({a}) + d.b) END)[0])[0]"
 
 
@@ -131,5 +132,6 @@ def fingerprint_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     quarter = "cast(floor(n_chars / 4) AS int)"
     step = step.withColumn("et", F.expr(f"concat(left(t, cast(n_chars AS int) - {quarter}), left(nt, {quarter}))"))
     step = step.withColumn("es", F.expr(sentences("et"))).withColumns({f"l{x}": F.expr(level_of(f"{x}s" if x else "s")) for x in ("", "e", "n")})
-    step = step.withColumns({"c": F.expr(f"transform(array({paragraphs('s', 'l')}), p -> {sketch('p', 1)})[0]"), "ec": F.expr(f"transform(array({paragraphs('es', 'le')}), p -> {sketch('p', 1)})[0]")})
-    return step.select("doc_id", "n_chars", F.sha2(F.encode("et", "UTF-8"), 256).alias("edited_sha256"), F.expr(as_hex("c", "l")).alias("fingerprint"), F.expr(as_hex("ec", "le")).alias("edited_fingerprint"), F.expr(likeness("s", "es", "l", "le")).alias("near_edited"), F.expr(likeness("s", "ns", "l", "ln")).alias("near_next"))
+    step = step.withColumns({f"m{x}": F.expr(f"shiftleft(1L, l{x}) - 1") for x in ("", "e", "n")})
+    step = step.withColumns({"c": F.expr(f"transform(array({paragraphs('s', 'm')}), p -> {sketch('p', 1)})[0]"), "ec": F.expr(f"transform(array({paragraphs('es', 'me')}), p -> {sketch('p', 1)})[0]")})
+    return step.select("doc_id", "n_chars", F.sha2(F.encode("et", "UTF-8"), 256).alias("edited_sha256"), F.expr(as_hex("c", "l")).alias("fingerprint"), F.expr(as_hex("ec", "le")).alias("edited_fingerprint"), F.expr(likeness("s", "es", "m", "me")).alias("near_edited"), F.expr(likeness("s", "ns", "m", "mn")).alias("near_next"))
