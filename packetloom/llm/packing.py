@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import ceil
 from pathlib import Path
+from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
@@ -20,12 +21,24 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it prints, else from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class ChunkIds(dict):
     """Ids of texts between blanks as little-endian bytes; forgets all when full.
 
     Blanks part the tokens of a tokenizer that drops white space, so a text's ids are the
     ids of its chunks one after another. Letters and a comma or full stop behind them are
-    tokens apart, so such a chunk is put together from its word and its mark.
+    tokens apart, so such a chunk is put together from its word and its mark. A word of
+    lower-case letters in normal form is a single part that no step before the model changes
+    but the writing of its bytes as letters, so it goes to the model at once.
     """
 
     def __init__(self, definition: str, most: int = 800_000):
@@ -40,6 +53,9 @@ class ChunkIds(dict):
         word, end = chunk.decode(), chunk[-1:]
         if end in b",." and word[:-1].isalpha():
             ids = self[chunk[:-1]] + self[end]
+        elif word.isalpha() and word == word.lower() and is_normalized("NFC", word):
+            found = self.tokenizer.model.tokenize("".join(map(_BYTE_LETTERS.__getitem__, chunk)))
+            ids = np.array([t.id for t in found], "<u4").tobytes()
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
