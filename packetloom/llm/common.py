@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,34 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         if now == before:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         before = now
+
+
+def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs with the Jaccard similarity, enough to span all of its components.
+
+    sets: distinct numbers of each entry, none empty. With two sides only pairs across are
+    checked. Every pair is, but for those that earlier links connect already.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, label, flag = np.cumsum(sizes) - sizes, np.arange(len(sets)), np.zeros(len(known), bool)
+    places, sided, found = np.arange(len(sets)), bool(side.any()), []
+    for i in range(len(sets)):
+        fits = np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])
+        open_ = np.flatnonzero(fits & (label != label[i]) & (side > side[i] if sided else places > i))
+        if not open_.size:
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        flag[own] = True
+        total = np.cumsum(sizes[open_])
+        for part in np.split(open_, np.flatnonzero(np.diff(np.maximum(total // 1_000_000, places[: len(open_)] // most))) + 1):
+            n = sizes[part]
+            begin = np.cumsum(n) - n
+            shared = np.add.reduceat(flag[codes[np.repeat(starts[part] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+            for j in part[shared >= similarity * (n + sizes[i] - shared)].tolist():
+                if label[j] != label[i]:
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
+        flag[own] = False
+    links = np.array(found, np.int64).reshape(-1, 2)
+    return links[:, 0], links[:, 1]

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import components, cut, stored, without
+from packetloom.llm.common import components, cut, exact_links, stored, without
 
 #: Rows of a tile, and rows of it that are compared at once.
 TILE, STRIP = 4096, 64
@@ -120,7 +120,7 @@ def tile_pairs(nodes: DataFrame, radius: int, blocks: int, ratio: float = 0.0) -
     tiles = cut(tiles.select("key", "part", F.col("rows.id").alias("id"), F.col("rows.fp").alias("fp"), F.col("rows.size").alias("size")))
     left = tiles.select(F.col("key").alias("own"), F.col("part").alias("pa"), F.struct("id", "fp", "size").alias("a"), F.explode(F.array(*map(F.lit, _offsets(blocks, radius, bool(ratio))))).alias("step")).withColumn("key", F.col("own") + F.col("step"))
     right = tiles.select("key", F.col("part").alias("pb"), F.struct("id", "fp", "size").alias("b"))
-    return left.join(right, "key").where("step > 0 or pa <= pb").select("a.id", "a.fp", "a.size", F.col("b.id").alias("id_b"), F.col("b.fp").alias("fp_b"), F.col("b.size").alias("size_b"), F.expr("step = 0 and pa = pb").alias("same"))
+    return left.join(right, "key").where("step > 0 or pa <= pb").select("a.id", "a.fp", "a.size", F.col("b.id").alias("id_b"), F.col("b.fp").alias("fp_b"), F.col("b.size").alias("size_b"), F.expr("step = 0 and pa = pb").alias("same"), F.xxhash64("own", "pa", "key", "pb").alias("pair"))
 
 
 def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -168,65 +168,60 @@ def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return made.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _candidates(nodes: DataFrame, radius: int, similarity: float, most: int) -> DataFrame:
-    """Pairs within the radius (a, b); of a row with over `most` in a pair of tiles, its
-    nearest `most`, and `more` says so."""
+def _candidate_groups(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Entries of each pair of tiles that chains of candidates connect: pair, grp, side, id.
+
+    Every candidate pair of a pair of tiles lies inside one group, and an entry is there once
+    however many candidates it has, so dense groups leave the task in proportion to their size.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for ids, fp, size, ids_b, fp_b, size_b, same in zip(*(batch[c] for c in ("id", "fp", "size", "id_b", "fp_b", "size_b", "same")), strict=True):
-                size, size_b = np.asarray(size), np.asarray(size_b)
-                for i, j, far in _strips(np.asarray(fp).view(np.uint64), np.asarray(fp_b).view(np.uint64), radius, same):
+            for ids, fp, size, ids_b, fp_b, size_b, same, pair in zip(*(batch[c] for c in ("id", "fp", "size", "id_b", "fp_b", "size_b", "same", "pair")), strict=True):
+                size, size_b, n = np.asarray(size), np.asarray(size_b), len(ids)
+                both = ids if same else np.concatenate([ids, ids_b])
+                forest = Forest(len(both))
+                for i, j, _ in _strips(np.asarray(fp).view(np.uint64), np.asarray(fp_b).view(np.uint64), radius, same):
                     fits = np.minimum(size[i], size_b[j]) >= similarity * np.maximum(size[i], size_b[j])
-                    i, j, far = i[fits], j[fits], far[fits]
-                    order = np.lexsort((j, far, i))
-                    i, j = i[order], j[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    near = place < most
-                    out.append((np.asarray(ids)[i[near]], np.asarray(ids_b)[j[near]], np.full(int(near.sum()), not near.all())))
-            if out:
-                a, b, more = (np.concatenate([x[k] for x in out]) for k in range(3))
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
+                    forest.add(i[fits], j[fits] if same else j[fits] + n)
+                roots = forest.roots(np.arange(len(both)))
+                met = np.flatnonzero(np.bincount(roots, minlength=len(both))[roots] > 1)
+                if met.size:
+                    yield pd.DataFrame({"pair": pair, "grp": roots[met], "side": 0 if same else (met >= n).astype(np.int64), "id": np.asarray(both)[met]})
 
-    return tile_pairs(nodes, radius, 1, similarity).mapInPandas(compare, "a long, b long, more boolean")
+    return tile_pairs(nodes, radius, 1, similarity).mapInPandas(compare, "pair long, grp long, side long, id long")
 
 
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, similarity: float = 0.8, most: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, similarity: float = 0.8, most: int = 4096) -> DataFrame:
     """Classes of documents whose word shingles have a Jaccard similarity of 0.8 or more.
 
     Equal texts are one entry. Entries whose fingerprints differ in `radius` bits or fewer
     (tiled exact comparison) and whose sizes allow the similarity are candidates; the exact
-    similarity of their shingle sets decides. Of a row with more candidates than `most` in
-    one pair of tiles the nearest come first; what they leave is settled exactly by further
-    rounds over one representative of each class, until no row has more. Returns doc_id and
+    similarity of their shingle sets decides. No candidate is passed over: what chains of
+    candidates connect in a pair of tiles meets in one task, where each pair that links do
+    not connect yet is checked (of a row, `most` pairs at a time). Returns doc_id and
     class_id (its smallest doc_id) of every row. Rows with a null doc_id are left out; null
     and empty texts equal only each other; repeated doc_ids count as one document each.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    made = stored(with_fingerprint(docs.withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8")))), width=width).drop("text"), "fingerprints")
-    entries = cut(made.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("n_shingles").alias("size")))
+    docs = docs.withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    made = stored(with_fingerprint(docs, width=width).drop("text"), "fingerprints")
+    entries = cut(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n_shingles").alias("size")).withColumn("id", F.xxhash64("key")))
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts])
 
-    nodes = entries.where("size > 0").select("id", "fp", "size")
-    classes = None
-    while True:
-        found = cut(_candidates(nodes, radius, similarity, most))
-        pairs = found.select("a", "b").distinct()
-        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        own = stored(docs.join(named, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", sets("text").alias("s")), "sets")
-        both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        links = both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-        reach = cut(components(links))
-        classes = reach if classes is None else cut(classes.toDF("node", "mid").join(reach.toDF("mid", "far"), "mid", "full").select(F.coalesce("node", "mid").alias("node"), F.coalesce("far", "mid").alias("component")))
-        if not found.where("more").head(1):
-            break
-        if not reach.head(1):
-            most *= 4
-        nodes = nodes.join(reach.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti")
-    named = entries.join(classes.toDF("id", "component"), "id", "left").select("key", F.coalesce("component", "id").alias("class_id"))
-    return made.join(named, "key").select("doc_id", "class_id")
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = exact_links(group["s"].tolist(), group["side"].to_numpy(), similarity, most)
+        ids = group["id"].to_numpy()
+        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+
+    groups = cut(_candidate_groups(entries.where("size > 0").select("id", "fp", "size"), radius, similarity))
+    named = groups.select("id").distinct()
+    own = docs.withColumn("id", F.xxhash64("key")).join(named, "id", "left_semi").dropDuplicates(["id"]).select("id", sets("text").alias("s"))
+    links = groups.join(own, "id").groupBy("pair", "grp").applyInPandas(verify, "a long, b long")
+    classes = components(links).toDF("id", "component")
+    classed = entries.join(classes, "id", "left").select("key", "least", F.coalesce("component", "id").alias("component"))
+    least = classed.groupBy("component").agg(F.min("least").alias("class_id"))
+    return made.join(classed.join(least, "component").select("key", "class_id"), "key").select("doc_id", "class_id")

@@ -187,6 +187,37 @@ def test_near_copies(docs, none):
     assert simhash.near_copies(none).count() == 0
 
 
+def hub(rng, size, variants, edits):
+    """A text and variants of it: all are like the first, most are unlike each other."""
+    base = words(rng, size).split()
+    out = [" ".join(base)]
+    for k in range(variants):
+        own = list(base)
+        for e, at in enumerate(rng.choice(size // 6, edits, replace=False) * 6 + 2):
+            own[at] = f"new{k}x{e}"
+        out.append(" ".join(own))
+    return out
+
+
+def brute_classes(texts, width=5, similarity=0.8):
+    """The smallest position that chains of similar texts reach, by all pairs."""
+    sets = [{tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def test_near_copies_of_a_hub(spark):
+    texts = hub(np.random.default_rng(12), 300, 60, 6)
+    ids = [*range(1, 61), 0]
+    df = spark.createDataFrame([(k, texts[k]) for k in ids], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in simhash.near_copies(df).collect()}
+    assert set(brute_classes(texts)) == {0} and [got[k] for k in range(61)] == [0] * 61
+
+
 def test_substring_dedup(docs, rows, none):
     spans = substring.repeated_spans(docs).collect()
     by_doc = {s.doc_id: s for s in spans}
