@@ -38,12 +38,15 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > hashes.size, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprint(docs: DataFrame, *, text: str = "text", width: int = 3) -> DataFrame:
-    """Adds fp (the fingerprint as a signed number) and n_shingles; a null text counts as empty."""
+def with_fingerprint(docs: DataFrame, *, text: str = "text", width: int = 3, distinct: bool = False) -> DataFrame:
+    """Adds fp (the fingerprint as a signed number) and n_shingles; a null text counts as empty.
+
+    With `distinct` a shingle that repeats in a text votes and counts once.
+    """
 
     @F.pandas_udf("fp long, n_shingles int")
     def of(texts: pd.Series) -> pd.DataFrame:
-        rows = [(fingerprint(h), h.size) for h in (shingle_hashes(t, width) for t in texts)]
+        rows = [(fingerprint(h), h.size) for h in (np.unique(shingle_hashes(t, width)) if distinct else shingle_hashes(t, width) for t in texts)]
         return pd.DataFrame(rows, columns=["fp", "n_shingles"])
 
     docs = without(docs, "fp", "n_shingles")
@@ -197,7 +200,8 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Equal texts are one entry. Entries whose fingerprints differ in `radius` bits or fewer
     (tiled exact comparison) and whose sizes allow the similarity are candidates; the exact
-    similarity of their shingle sets decides. No candidate is passed over: what chains of
+    similarity of their shingle sets decides. Fingerprints and sizes are of distinct shingles,
+    as the similarity is. No candidate is passed over: what chains of
     candidates connect in a pair of tiles meets in one task, where each pair that links do
     not connect yet is checked (of a row, `most` pairs at a time). Returns doc_id and
     class_id (its smallest doc_id) of every row. Rows with a null doc_id are left out; null
@@ -205,7 +209,7 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
     docs = docs.withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    made = stored(with_fingerprint(docs, width=width).drop("text"), "fingerprints")
+    made = stored(with_fingerprint(docs, width=width, distinct=True).drop("text"), "fingerprints")
     entries = cut(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n_shingles").alias("size")).withColumn("id", F.xxhash64("key")))
 
     @F.pandas_udf("array<long>")

@@ -218,6 +218,15 @@ def test_near_copies_of_a_hub(spark):
     assert set(brute_classes(texts)) == {0} and [got[k] for k in range(61)] == [0] * 61
 
 
+def test_near_copies_with_inner_repeats(spark):
+    rng = np.random.default_rng(13)
+    text, other, part = words(rng, 200), words(rng, 150), words(rng, 40)
+    texts = [text, text + " " + text, other + " " + part, other + " " + " ".join([part] * 12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert brute_classes(texts) == [0, 0, 2, 2]
+    assert {r.doc_id: r.class_id for r in simhash.near_copies(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 def test_substring_dedup(docs, rows, none):
     spans = substring.repeated_spans(docs).collect()
     by_doc = {s.doc_id: s for s in spans}
