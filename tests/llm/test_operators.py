@@ -227,6 +227,16 @@ def test_near_copies_with_inner_repeats(spark):
     assert {r.doc_id: r.class_id for r in simhash.near_copies(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+def test_near_copies_at_the_bound(spark):
+    rng, texts = np.random.default_rng(14), []
+    for k in range(100):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 154)]
+        texts += [" ".join(base), " ".join([*base[16:], *(f"n{k}x{x}" for x in range(16))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in simhash.near_copies(df).collect()}
+    assert [got[k] for k in range(200)] == brute_classes(texts) == [k // 2 * 2 for k in range(200)]
+
+
 def test_substring_dedup(docs, rows, none):
     spans = substring.repeated_spans(docs).collect()
     by_doc = {s.doc_id: s for s in spans}
