@@ -22,9 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest doc_id."""
-    gone = simhash.near_copies(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
+    """One document of each class of near copies: the one with the smallest doc_id.
+
+    Rows go by their text, not by their doc_id: of rows equal in both one stays, different
+    texts that share a doc_id are judged one by one, and rows without a doc_id all stay.
+    """
+    return simhash.first_copies(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import components, cut, exact_links, stored, without
@@ -227,16 +227,38 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     (tiled exact comparison) and whose sizes allow the similarity are candidates; the exact
     similarity of their shingle sets decides. Fingerprints and sizes are of distinct shingles,
     as the similarity is. At a similarity of 0.8 two fingerprints differ in 10 bits on average
-    (12 for the shortest texts), with a deviation of 3: of 138,000
-    simulated pairs of 0.8 to 0.89 the radius of 22 lost 1 (14: 2,413), the further
-    fingerprints that keep unlike texts away (SIEVES) none. No candidate is passed over: what chains of
-    candidates connect in a pair of tiles meets in one task, where each pair that links do
+    (12 for the shortest texts), with a deviation of 3: of 138,000 simulated pairs of 0.8 to
+    0.89 the radius of 22 lost 1 (14: 2,413), the further fingerprints that keep unlike texts
+    away (SIEVES) none. No candidate is passed over: what chains of candidates connect in a
+    pair of tiles meets in one task, where each pair that links do
     not connect yet is checked (of a row, `most` pairs at a time). Returns doc_id and
     class_id (its smallest doc_id) of every row. Rows with a null doc_id are left out; null
-    and empty texts equal only each other; repeated doc_ids count as one document each.
+    and empty texts equal only each other; texts that share a doc_id are entries of their own.
     """
+    return _classes(docs, doc_id, text, width, radius, similarity, most).select("doc_id", "class_id")
+
+
+def first_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 22, similarity: float = 0.8, most: int = 4096) -> DataFrame:
+    """`docs` with one row of each class of near_copies: the smallest doc_id, then the text with the smallest MD5.
+
+    Of rows equal in doc_id and text one stays. Rows with a null doc_id all stay.
+    """
+    classes = _classes(docs, doc_id, text, width, radius, similarity, most)
+    keep = classes.groupBy("class__").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("id__"), F.col("k.key").alias("key__"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.where(F.col(f"`{doc_id}`").isNotNull()).select("*", F.col(f"`{doc_id}`").cast("long").alias("id__"), _text_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key__"))
+    first = keyed.join(keep, ["id__", "key__"], "left_semi").dropDuplicates(["id__", "key__"]).select(*own)
+    return first.unionAll(docs.where(F.col(f"`{doc_id}`").isNull()).select(*own))
+
+
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, width: int, radius: int, similarity: float, most: int) -> DataFrame:
+    """doc_id, key (of the text), class__ (of the entry) and class_id of every row with a doc_id."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    docs = docs.withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    docs = docs.withColumn("key", _text_key(F.col("text")))
     made = stored(with_fingerprint(docs, width=width, distinct=True).drop("text"), "fingerprints")
     entries = cut(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in SIEVES]).withColumn("id", F.xxhash64("key")))
 
@@ -256,4 +278,4 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     classes = components(links).toDF("id", "component")
     classed = entries.join(classes, "id", "left").select("key", "least", F.coalesce("component", "id").alias("component"))
     least = classed.groupBy("component").agg(F.min("least").alias("class_id"))
-    return made.join(classed.join(least, "component").select("key", "class_id"), "key").select("doc_id", "class_id")
+    return made.join(classed.join(least, "component").select("key", F.col("component").alias("class__"), "class_id"), "key").select("doc_id", "key", "class__", "class_id")

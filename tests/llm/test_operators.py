@@ -237,6 +237,17 @@ def test_near_copies_at_the_bound(spark):
     assert [got[k] for k in range(200)] == brute_classes(texts) == [k // 2 * 2 for k in range(200)]
 
 
+def test_first_copies_go_by_text(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(15)
+    a, b, c, d, e = (words(rng, 100) for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (3, c), (3, d), (None, e), (None, a), (None, e), (None, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], DOCS)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+    assert left == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, a), (None, e), (None, None), (4, None)])
+
+
 def test_substring_dedup(docs, rows, none):
     spans = substring.repeated_spans(docs).collect()
     by_doc = {s.doc_id: s for s in spans}
