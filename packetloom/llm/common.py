@@ -86,15 +86,15 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         before = now
 
 
-def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, most: int = 4096, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs with the Jaccard similarity, enough to span all of its components.
 
     sets: distinct numbers of each entry, none empty. With two sides only pairs across are
-    checked. Every pair is, but for those that earlier links connect already.
+    checked. Every pair is, but for those that earlier links (or equal labels) connect already.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
     known, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, label, flag = np.cumsum(sizes) - sizes, np.arange(len(sets)), np.zeros(len(known), bool)
+    starts, label, flag = np.cumsum(sizes) - sizes, np.arange(len(sets)) if label is None else label.copy(), np.zeros(len(known), bool)
     places, sided, found = np.arange(len(sets)), bool(side.any()), []
     for i in range(len(sets)):
         fits = np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])

@@ -11,11 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import components, cut, stored, without
+from packetloom.llm.common import components, cut, exact_links, stored, without
 
 #: Words of a shingle; bands and rows of a band: at a Jaccard similarity of 0.8 a pair
 #: collides with a probability of 1 - (1 - 0.8 ** 3) ** 10, over 0.999.
 WIDTH, BANDS, ROWS = 5, 10, 3
+#: Entries of a block of a large bucket; each pair of blocks meets in one task.
+BLOCK = 1024
 #: A cut between passages is the least three-word hash among this many on either side.
 REACH = 6
 UNITS = "doc_id long, first_word int, n_words int, content long, bands array<long>"
@@ -150,6 +152,26 @@ def _islands(spans: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "island").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("kept_doc_id").alias("kept_doc_id")).drop("island")
 
 
+def _open_blocks(banded: DataFrame, large: DataFrame, reach: DataFrame) -> DataFrame:
+    """Entries of the large buckets that links do not connect yet, once for each pair of blocks.
+
+    Buckets with the same entries count once. Returns band, low, high, side, content, label.
+    """
+    within = cut(banded.join(large, "band", "left_semi").select("band", "content").join(reach.toDF("content", "label"), "content", "left").withColumn("label", F.coalesce("label", "content")))
+    entries = F.sum(F.xxhash64("content").cast("decimal(38,0)"))
+    apart = within.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), entries.alias("sum")).where("least < most")
+    apart = apart.groupBy("n", "sum").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = within.join(apart, "band").withColumn("own", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cut(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "content", "label"))
+
+
+def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
+    i, j = exact_links(group["shingles"].tolist(), group["side"].to_numpy(), similarity, label=label)
+    content = group["content"].to_numpy()
+    return pd.DataFrame({"a": content[i], "b": content[j]})
+
+
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = 25) -> DataFrame:
     """Spans of words that repeat an earlier paragraph of any document.
 
@@ -180,16 +202,21 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     entries = cut(lines.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first_word", "n_words")).alias("keep"), F.first("bands").alias("bands")))
     bucket = Window.partitionBy("band").orderBy("content")
     banded = entries.select("content", F.posexplode("bands").alias("k", "band"))
-    pairs = banded.select("content", F.lag("content").over(bucket).alias("before"), F.first("content").over(bucket).alias("first")).where("before is not null")
-    pairs = pairs.select("content", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("content <> other")
-    pairs = cut(pairs.select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).distinct())
+    pairs = banded.select("content", F.lag("content").over(bucket).alias("before"), F.first("content").over(bucket).alias("first"), F.when(F.row_number().over(bucket) > 3, F.col("band")).alias("large")).where("before is not null")
+    pairs = pairs.select("content", "large", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("content <> other")
+    pairs = cut(pairs.groupBy(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).agg(F.collect_set("large").alias("large")))
     named = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
     needed = entries.join(named, "content").select("content", "keep.*")
     sets = stored(_needed_shingles(docs, needed), "shingles")
-    both = pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = pairs.drop("large").join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     links = both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    reach = components(links).withColumnRenamed("node", "content")
+    reach = cut(components(links))
+    blocks = _open_blocks(banded, pairs.select(F.explode("large").alias("band")).distinct(), reach)
+    if blocks.head(1):
+        more = blocks.join(sets, "content").groupBy("band", "low", "high").applyInPandas(lambda group: _block_links(group, similarity), "a long, b long")
+        reach = components(reach.toDF("a", "b").unionAll(more))
+    reach = reach.withColumnRenamed("node", "content")
     classed = entries.join(reach, "content", "left").withColumn("component", F.coalesce("component", "content"))
     least = classed.groupBy("component").agg(F.min(F.struct("keep.doc_id", "keep.first_word")).alias("first"), F.sum("n").alias("rows"))
     line_classes = cut(classed.join(least.where("rows > 1"), "component").select("content", F.col("first").alias("keep")))

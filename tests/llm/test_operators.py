@@ -263,6 +263,15 @@ def test_substring_dedup(docs, rows, none):
     assert substring.repeated_spans(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_substring_buckets_are_checked_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK", block)
+    texts = hub(np.random.default_rng(16), 100, 80, 2)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {s.doc_id: (s.first_word, s.n_words, s.kept_doc_id) for s in substring.repeated_spans(df).collect()}
+    assert set(brute_classes(texts)) == {0} and got == {k: (0, 100, 0) for k in range(1, 81)}
+
+
 def test_fingerprints(spark, docs, rows, none):
     rows = [r for r in rows if r[0] is not None][:-1]
     df = spark.createDataFrame(rows, DOCS)
