@@ -1,19 +1,24 @@
-"""What the operators of this subpackage share: tables, checkpoints and components."""
+"""What the operators of this subpackage share: tables, written intermediates and components."""
 
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters that part words, as every contract of this subpackage has them.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]+"
+#: Keys that more than one row in HOT_SHARE bears are at most HOT_SHARE; their entries are broadcast.
+HOT_SHARE, HOT_ROWS = 2000, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,35 +28,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where no such folder is named (tests, local mode) a temporary one is made and set.
+    Only a session in one process (tests) gets a temporary folder if none is named; on a
+    cluster that is an error, as executors could not read one another's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(named)
         return named
+    context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="packetloom-")
     atexit.register(shutil.rmtree, own, True)
     context.setCheckpointDir(own)
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder, which outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet into the shared folder and reads it again."""
+def _written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/packetloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` as Parquet into the shared folder and reads it again; it goes when the driver ends."""
+    path, made = _written(df, name)
+    where, files = _path(df.sparkSession, path)
+    files.deleteOnExit(where)
+    return made
+
+
+class Scratch:
+    """Intermediate tables of one operator, in the shared folder until the `with` block ends.
+
+    Written tables cut the lineage and outlive executors. What an operator returns must not
+    read them: its last step is `stored`. Leaving also lets the driver collect its garbage,
+    without which Spark keeps the files of finished shuffles.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path, made = _written(df, name)
+        self.paths[id(made)] = (path, made)
+        self.tidy()
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for made in tables:
+            path, _ = self.paths.pop(id(made))
+            where, files = _path(self.spark, path)
+            files.delete(where, True)
+
+    def tidy(self) -> None:
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[made for _, made in list(self.paths.values())])
+        self.tidy()
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -60,30 +108,51 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def join_counted(rows: DataFrame, entries: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Left join of `rows` with `entries`, which has one row per key and in `n` how many rows bear it.
+
+    A key that over total / HOT_SHARE rows bear would overload the task it is dealt to. There
+    are at most HOT_SHARE such keys, so their entries are broadcast, and their rows are dealt
+    evenly in the shuffled join that all others take part in.
+    """
+    columns = [c for c in entries.columns if c not in (key, n)]
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    value = F.struct(*[F.col(f"`{c}`") for c in columns])
+    hot = F.broadcast(entries.where(F.col(n) > bound).select(F.col(key).alias("hotkey__"), value.alias("hot__")))
+    cold = entries.where(F.col(n) <= bound).select(F.col(key).alias("coldkey__"), F.lit(0).cast("long").alias("coldsalt__"), value.alias("cold__"))
+    met = rows.join(hot, F.col(key) == F.col("hotkey__"), "left")
+    met = met.withColumn("salt__", F.when(F.col("hot__").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+    met = met.join(cold, (F.col(key) == F.col("coldkey__")) & (F.col("salt__") == F.col("coldsalt__")), "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col("hot__")[c], F.col("cold__")[c]).alias(c) for c in columns])
+
+
+def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of a link table: one row (node, component) per linked node.
 
     The component is the smallest node that can be reached. Alternates two steps, each one
     aggregation and one join on the nodes: every node points its neighbours at the smallest
     node it sees (large star), then every node hangs its smaller neighbours below the
     smallest (small star). The rounds grow with the logarithm of the longest path. Links are
-    made distinct before each shuffle; a hot node only meets partial aggregates. Null nodes
-    and links of a node to itself are ignored.
+    made distinct before each shuffle; a hot node (the centre of a star) meets partial
+    aggregates and, in the joins, a broadcast of its entry. Null nodes and links of a node
+    to itself are ignored. The result is a table of `scratch`.
     """
-    edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct()
-    edges = cut(edges)
-    before = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        before = now
+    with Scratch(links.sparkSession) as own:
+        edges = own.keep(links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct(), "links")
+        total = edges.count()
+        before = None
+        while True:
+            both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+            large = join_counted(both.where("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+            small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            small = join_counted(large, small_least, "u", "n", 2 * total).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
+            last, edges = edges, own.keep(small, "links")
+            own.drop(last)
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                return scratch.keep(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "components")
+            before = now
 
 
 def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, most: int = 4096, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +162,10 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, mos
     checked. Every pair is, but for those that earlier links (or equal labels) connect already.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
+    if len(sets) == 2:
+        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        ok = (side[1] != side[0] or not side.any()) and (label is None or label[0] != label[1]) and shared >= similarity * (sizes.sum() - shared)
+        return (np.array([0]), np.array([1])) if ok else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     known, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts, label, flag = np.cumsum(sizes) - sizes, np.arange(len(sets)) if label is None else label.copy(), np.zeros(len(known), bool)
     places, sided, found = np.arange(len(sets)), bool(side.any()), []
@@ -115,3 +188,23 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, mos
         flag[own] = False
     links = np.array(found, np.int64).reshape(-1, 2)
     return links[:, 0], links[:, 1]
+
+
+def similar_links(entries: DataFrame, keys: list[str], similarity: float, most: int = 4096) -> DataFrame:
+    """Links (a, b) of ids by `exact_links` within each group of `keys`, which has to be bounded.
+
+    entries: the keys, id, side, label (equal ones are connected already) and s (the set).
+    """
+    names = ("id", "side", "label", "s")
+    grouped = entries.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("rows")).where(F.size("rows") > 1).select(*[F.col(f"rows.{n}").alias(n) for n in names])
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for ids, side, label, sets in zip(*(batch[n] for n in names), strict=True):
+                i, j = exact_links(list(sets), np.asarray(side), similarity, most, np.unique(label, return_inverse=True)[1])
+                a.append(np.asarray(ids)[i])
+                b.append(np.asarray(ids)[j])
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return grouped.mapInPandas(check, "a long, b long")

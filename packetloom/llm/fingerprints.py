@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import cut
+from packetloom.llm.common import stored
 
 #: Cells of a table: three parts, and a key has one cell in each. Peeling rounds.
 PART, CELLS, ROUNDS = 8, 24, 12
@@ -120,7 +120,7 @@ def fingerprint_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         known = F.array(*map(F.lit, edges))
         part = F.coalesce(F.when(F.col("doc_id") > edges[-1], F.lit(len(edges))).otherwise(F.array_position(F.transform(known, lambda e: F.col("doc_id") <= e), F.lit(True)).cast("int") - 1), F.lit(0))
     docs = docs.select("doc_id", "t", part.alias("part"), F.expr(sentences("t")).alias("s"))
-    firsts = cut(docs.groupBy("part").agg(F.min(F.struct("doc_id", "t", "s")).alias("f")))
+    firsts = stored(docs.groupBy("part").agg(F.min(F.struct("doc_id", "t", "s")).alias("f")), "firsts")
     # Ranges are few; those without rows have no entry, so each points at the next that has one.
     order = [r["part"] for r in firsts.select("part").orderBy("part").collect()]
     after = docs.sparkSession.createDataFrame([(p, order[(k + 1) % len(order)]) for k, p in enumerate(order)], "part int, after int")

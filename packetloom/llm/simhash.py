@@ -12,10 +12,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import components, cut, exact_links, stored, without
+from packetloom.llm.common import Scratch, components, join_counted, similar_links, stored, without
 
-#: Rows of a tile, and rows of it that are compared at once.
-TILE, STRIP = 4096, 64
+#: Rows of a tile, rows of it that are compared at once, and population counts that share a tile at a wide radius.
+TILE, STRIP, COUNT_STEP = 4096, 64, 6
 #: Further fingerprints that sift candidates, and how many of all 256 bits may differ. At a
 #: similarity of 0.8 a bit differs with a probability of 0.15 (long texts) to 0.19 (five
 #: shingles): 39 to 48 bits are expected with a deviation of 6, and 128 of unlike texts.
@@ -111,20 +111,24 @@ def _strips(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[t
             yield i, j, distance
 
 
-def _offsets(blocks: int, radius: int, classes: bool) -> list[int]:
+def _offsets(blocks: int, radius: int, step: int, classes: bool) -> list[int]:
     """Differences of tile keys within the radius; of two opposite ones only the positive."""
-    ranges = [range(-radius, radius + 1)] * blocks
-    found = {sum(d * 128**k for k, d in enumerate(step)) + c * 128**blocks for step in product(*ranges) if sum(map(abs, step)) <= radius for c in ((-1, 0, 1) if classes else (0,))}
+    most = -(-radius // step)
+    ranges = [range(-most, most + 1)] * blocks
+    found = {sum(d * 128**k for k, d in enumerate(by)) + c * 128**blocks for by in product(*ranges) if sum(max(0, (abs(d) - 1) * step + 1) for d in by) <= radius for c in ((-1, 0, 1) if classes else (0,))}
     return sorted(x for x in found if x >= 0)
 
 
-def tile_pairs(nodes: DataFrame, radius: int, blocks: int, ratio: float = 0.0, extra: tuple[str, ...] = ()) -> DataFrame:
+def tile_pairs(nodes: DataFrame, scratch: Scratch, radius: int, blocks: int, *, step: int = 1, ratio: float = 0.0, extra: tuple[str, ...] = (), most_size: int = 1 << 22) -> DataFrame:
     """Pairs of tiles that can hold fingerprints within the radius.
 
     nodes: id, fp, size and `extra`. A tile key has the population count of each of `blocks` equal
-    fields of the fingerprint (and, with a ratio, the size's logarithm to its base). The sum
-    of the differences of the counts is a lower bound of the distance, so all other pairs of
-    tiles are skipped without loss. A key with over TILE rows has several tiles.
+    fields of the fingerprint, in steps of `step` (and, with a ratio, the size's logarithm to
+    its base). The sum of the differences of the counts is a lower bound of the distance, so
+    all other pairs of tiles are skipped without loss. A key with over TILE rows, or whose
+    sizes add up to over `most_size`, has several tiles. Pairs are first listed by the tiles'
+    names alone, then each goes to the task of its second tile, so the tiles of a popular
+    key are compared in as many tasks as there are tiles.
     """
     names = ("id", "fp", "size", *extra)
     bits = 64 // blocks
@@ -132,20 +136,24 @@ def tile_pairs(nodes: DataFrame, radius: int, blocks: int, ratio: float = 0.0, e
     key = F.lit(0).cast("long")
     for k in range(blocks):
         field = F.shiftrightunsigned("fp", bits * k).bitwiseAND(F.lit(mask)) if blocks > 1 else F.col("fp")
-        key = key + F.bit_count(field).cast("long") * F.lit(128**k)
+        key = key + F.floor(F.bit_count(field) / step).cast("long") * F.lit(128**k)
     if ratio:
         key = key + F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-log(ratio)) + F.lit(1e-9)).cast("long") * F.lit(128**blocks)
     keyed = nodes.withColumn("key", key)
-    many = keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    many = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / most_size)).cast("int").alias("parts")), "keys")
+    total = many.agg(F.sum("n")).first()[0] or 0
     part = F.pmod(F.xxhash64("id", "fp"), F.col("parts")).cast("int")
-    tiles = keyed.join(many, "key").select("key", part.alias("part"), F.struct(*names).alias("row")).groupBy("key", "part").agg(F.collect_list("row").alias("rows"))
-    tiles = cut(tiles.select("key", "part", *[F.col(f"rows.{n}").alias(n) for n in names]))
-    left = tiles.select(F.col("key").alias("own"), F.col("part").alias("pa"), F.struct(*names).alias("a"), F.explode(F.array(*map(F.lit, _offsets(blocks, radius, bool(ratio))))).alias("step")).withColumn("key", F.col("own") + F.col("step"))
-    right = tiles.select("key", F.col("part").alias("pb"), F.struct(*names).alias("b"))
-    return left.join(right, "key").where("step > 0 or pa <= pb").select("a.*", *[F.col(f"b.{n}").alias(f"{n}_b") for n in names], F.expr("step = 0 and pa = pb").alias("same"), F.xxhash64("own", "pa", "key", "pb").alias("pair"))
+    tiles = join_counted(keyed, many, "key", "n", total).select("key", part.alias("part"), F.struct(*names).alias("row")).groupBy("key", "part").agg(F.collect_list("row").alias("rows"))
+    tiles = scratch.keep(tiles.select("key", "part", *[F.col(f"rows.{n}").alias(n) for n in names]), "tiles")
+    steps = F.explode(F.array(*map(F.lit, _offsets(blocks, radius, step, bool(ratio)))))
+    asked = tiles.select(F.col("key").alias("own"), F.col("part").alias("pa"), steps.alias("by")).withColumn("key", F.col("own") + F.col("by"))
+    named = asked.join(many.drop("n"), "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("by > 0 or pa <= part").drop("parts")
+    left = tiles.select(F.col("key").alias("own"), F.col("part").alias("pa"), *names)
+    met = named.join(left, ["own", "pa"]).join(tiles.select("key", "part", *[F.col(n).alias(f"{n}_b") for n in names]), ["key", "part"])
+    return met.select(*names, *[f"{n}_b" for n in names], F.expr("by = 0 and pa = part").alias("same"), F.xxhash64("own", "pa", "key", "part").alias("pair"))
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, scratch: Scratch, radius: int, blocks: int) -> DataFrame:
     """Links (a, b) of ids that span the components of "within the radius".
 
     Each pair of tiles is compared whole; of its links a spanning forest leaves the task, so
@@ -164,7 +172,7 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
             if out:
                 yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
 
-    return tile_pairs(nodes, radius, blocks).mapInPandas(compare, "a long, b long")
+    return tile_pairs(nodes, scratch, radius, blocks).select("id", "fp", "id_b", "fp_b", "same").mapInPandas(compare, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
@@ -179,18 +187,21 @@ def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     other input columns are not read. `blocks` is 4 up to some 10^8 distinct fingerprints;
     8 keeps tiles small beyond.
     """
-    made = with_fingerprint(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width)
-    made = stored(made.select("doc_id", "fp"), "simhash")
-    nodes = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = fingerprint_links(nodes.select(F.col("fp").alias("id"), "fp", F.lit(1).alias("size")), radius, blocks)
-    reach = components(links).select(F.col("node").alias("fp"), "component")
-    named = nodes.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return made.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _candidate_groups(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        made = with_fingerprint(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width)
+        made = stored(made.select("doc_id", "fp"), "simhash")
+        nodes = scratch.keep(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+        links = fingerprint_links(nodes.select(F.col("fp").alias("id"), "fp", F.lit(1).alias("size")), scratch, radius, blocks)
+        reach = components(links, scratch).select(F.col("node").alias("fp"), "component")
+        named = nodes.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+        total = made.count()
+        classes = stored(join_counted(named, least, "component", "fps", total).select("fp", "component_id", "n"), "classes")
+    return join_counted(made, classes, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _candidate_groups(nodes: DataFrame, scratch: Scratch, radius: int, similarity: float) -> DataFrame:
     """Entries of each pair of tiles that chains of candidates connect: pair, grp, side, id.
 
     Every candidate pair of a pair of tiles lies inside one group, and an entry is there once
@@ -217,7 +228,7 @@ def _candidate_groups(nodes: DataFrame, radius: int, similarity: float) -> DataF
                 if met.size:
                     yield pd.DataFrame({"pair": pair, "grp": roots[met], "side": 0 if same else (met >= n).astype(np.int64), "id": np.asarray(both)[met]})
 
-    return tile_pairs(nodes, radius, 1, similarity, SIEVES).mapInPandas(compare, "pair long, grp long, side long, id long")
+    return tile_pairs(nodes, scratch, radius, 1, step=COUNT_STEP, ratio=similarity, extra=SIEVES).mapInPandas(compare, "pair long, grp long, side long, id long")
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 22, similarity: float = 0.8, most: int = 4096) -> DataFrame:
@@ -230,12 +241,13 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     (12 for the shortest texts), with a deviation of 3: of 138,000 simulated pairs of 0.8 to
     0.89 the radius of 22 lost 1 (14: 2,413), the further fingerprints that keep unlike texts
     away (SIEVES) none. No candidate is passed over: what chains of candidates connect in a
-    pair of tiles meets in one task, where each pair that links do
+    pair of tiles (2 * TILE entries at most) meets in one task, where each pair that links do
     not connect yet is checked (of a row, `most` pairs at a time). Returns doc_id and
     class_id (its smallest doc_id) of every row. Rows with a null doc_id are left out; null
     and empty texts equal only each other; texts that share a doc_id are entries of their own.
     """
-    return _classes(docs, doc_id, text, width, radius, similarity, most).select("doc_id", "class_id")
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(_classes(docs, scratch, doc_id, text, width, radius, similarity, most).select("doc_id", "class_id"), "near-copies")
 
 
 def first_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 22, similarity: float = 0.8, most: int = 4096) -> DataFrame:
@@ -243,11 +255,13 @@ def first_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Of rows equal in doc_id and text one stays. Rows with a null doc_id all stay.
     """
-    classes = _classes(docs, doc_id, text, width, radius, similarity, most)
-    keep = classes.groupBy("class__").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("id__"), F.col("k.key").alias("key__"))
+    with Scratch(docs.sparkSession) as scratch:
+        classes = _classes(docs, scratch, doc_id, text, width, radius, similarity, most)
+        keep = classes.groupBy("class__").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("id__"), F.col("k.key").alias("key__"))
+        keep = stored(keep, "first-copies")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.where(F.col(f"`{doc_id}`").isNotNull()).select("*", F.col(f"`{doc_id}`").cast("long").alias("id__"), _text_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key__"))
-    first = keyed.join(keep, ["id__", "key__"], "left_semi").dropDuplicates(["id__", "key__"]).select(*own)
+    keyed = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id__"), _text_key(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key__"), F.struct(*own).alias("row__"))
+    first = keyed.dropDuplicates(["id__", "key__"]).join(keep, ["id__", "key__"], "left_semi").select("row__.*")
     return first.unionAll(docs.where(F.col(f"`{doc_id}`").isNull()).select(*own))
 
 
@@ -255,27 +269,27 @@ def _text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, width: int, radius: int, similarity: float, most: int) -> DataFrame:
+def _classes(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, width: int, radius: int, similarity: float, most: int) -> DataFrame:
     """doc_id, key (of the text), class__ (of the entry) and class_id of every row with a doc_id."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
     docs = docs.withColumn("key", _text_key(F.col("text")))
-    made = stored(with_fingerprint(docs, width=width, distinct=True).drop("text"), "fingerprints")
-    entries = cut(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in SIEVES]).withColumn("id", F.xxhash64("key")))
+    made = scratch.keep(with_fingerprint(docs, width=width, distinct=True).drop("text"), "fingerprints")
+    entries = made.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in SIEVES])
+    entries = scratch.keep(entries.withColumn("id", F.xxhash64("key")), "entries")
+    made = made.select("doc_id", "key")
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts])
 
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = exact_links(group["s"].tolist(), group["side"].to_numpy(), similarity, most)
-        ids = group["id"].to_numpy()
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
-
-    groups = cut(_candidate_groups(entries.where("size > 0").select("id", "fp", "size", *SIEVES), radius, similarity))
-    named = groups.select("id").distinct()
-    own = docs.withColumn("id", F.xxhash64("key")).join(named, "id", "left_semi").dropDuplicates(["id"]).select("id", sets("text").alias("s"))
-    links = groups.join(own, "id").groupBy("pair", "grp").applyInPandas(verify, "a long, b long")
-    classes = components(links).toDF("id", "component")
-    classed = entries.join(classes, "id", "left").select("key", "least", F.coalesce("component", "id").alias("component"))
-    least = classed.groupBy("component").agg(F.min("least").alias("class_id"))
-    return made.join(classed.join(least, "component").select("key", F.col("component").alias("class__"), "class_id"), "key").select("doc_id", "key", "class__", "class_id")
+    groups = scratch.keep(_candidate_groups(entries.where("size > 0").select("id", "fp", "size", *SIEVES), scratch, radius, similarity), "groups")
+    # The row with the smallest doc_id stands for all copies of a text, so copies don't gather in the join.
+    named = entries.join(groups.select("id").distinct(), "id", "left_semi").select("id", F.col("least").alias("doc_id"))
+    own = docs.select("doc_id", F.xxhash64("key").alias("id"), "text").join(named, ["doc_id", "id"], "left_semi").dropDuplicates(["id"]).select("id", sets("text").alias("s"))
+    links = scratch.keep(similar_links(groups.join(own, "id").withColumn("label", F.col("id")), ["pair", "grp"], similarity, most), "links")
+    classes = components(links, scratch).toDF("id", "component")
+    classed = entries.join(classes, "id", "left").select("key", "least", "n", F.coalesce("component", "id").alias("component"))
+    least = classed.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("texts"))
+    total = made.count()
+    named = scratch.keep(join_counted(classed, least, "component", "texts", total).select("key", "n", F.col("component").alias("class__"), "class_id"), "classes")
+    return join_counted(made, named, "key", "n", total).select("doc_id", "key", "class__", "class_id")

@@ -7,23 +7,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from packetloom.llm.common import components, cut, exact_links, stored, without
+from packetloom.llm.common import Scratch, components, join_counted, similar_links, stored, without
 
 #: Words of a shingle; bands and rows of a band: at a Jaccard similarity of 0.8 a pair
-#: collides with a probability of 1 - (1 - 0.8 ** 3) ** 10, over 0.999.
-WIDTH, BANDS, ROWS = 5, 10, 3
+#: collides with a probability of 1 - (1 - 0.8 ** 2) ** 5 = 0.994, at 0.9 of 0.9998.
+WIDTH, BANDS, ROWS = 5, 5, 2
+#: Words of a window paragraph, and how many successive places for one hold the start of one
+#: at least: a run of WINDOW + REACH - 1 = 50 words has a window inside wherever it stands.
+WINDOW, REACH = 15, 36
+#: Distinct shingles that a paragraph has at least: a word over and over is no paragraph.
+LEAST_SHINGLES = 6
 #: Entries of a block of a large bucket; each pair of blocks meets in one task.
 BLOCK = 1024
-#: A cut between passages is the least three-word hash among this many on either side.
-REACH = 6
-UNITS = "doc_id long, first_word int, n_words int, content long, bands array<long>"
+#: Words that are handled at once (a longer text alone), and units that leave a worker at once.
+GROUP_WORDS, SLICE = 1 << 18, 1 << 16
+UNITS = "doc_id long, text_key long, first_word int, n_words int, content long, " + ", ".join(f"b{k} long" for k in range(BANDS)) + ", around binary"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_NONE = np.uint64(2**64 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -35,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 800_000:
+        if len(self) >= 200_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word, 9)
         if len(word) <= 64:
@@ -43,190 +52,291 @@ class WordHashes(dict):
         return h
 
 
-_KEPT = WordHashes()
-_SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MIX)
+_SEEDS = _mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _MIX)
+_XOR, _TIMES = _SEEDS[: BANDS * ROWS], _SEEDS[BANDS * ROWS :] | np.uint64(1)
+
+
+def text_words(text: str) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return text.encode().lower().split()
+
+
+def hashes(words: list[bytes], known: WordHashes | None = None) -> np.ndarray:
+    return np.fromiter(map((known if known is not None else WordHashes()).__getitem__, words), np.uint64, len(words))
 
 
 def _runs(h: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of `width` words."""
     out = np.zeros(max(0, len(h) - width + 1), np.uint64)
     for k in range(width):
-        out = _mix(out * _MIX + h[k : len(h) - width + 1 + k])
+        out = _mix(out * _MIX + h[k : k + len(out)])
     return out
 
 
-def _contents(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of the words of each part; `starts` are where parts begin."""
-    sizes = np.diff(np.append(starts, len(h)))
-    place = np.arange(len(h), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
-    return _mix(np.add.reduceat(_mix(h + place * _MIX), starts) + sizes.astype(np.uint64))
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Distinct five-word hashes of a paragraph."""
+    return np.unique(_runs(h, min(WIDTH, len(h))))
 
 
-def line_words(text: str) -> tuple[list[bytes], np.ndarray]:
-    """The words (A-Z lower-cased) of a text and how many each of its lines has."""
-    lines = [line.split() for line in text.encode().lower().split(b"\n")]
-    return [w for line in lines for w in line], np.array([len(line) for line in lines if line], np.int64)
+def _sliding(x: np.ndarray, width: int, of: np.ufunc, fill: np.uint64) -> np.ndarray:
+    """`of` over each `width` successive values from a place on; beyond the end there is `fill`."""
+    out, done = x.copy(), 1
+    while done < width:
+        by = min(done, width - done)
+        out = of(out, np.concatenate([out[by:], np.full(min(by, len(out)), fill)]))
+        done += by
+    return out
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """First words of the passages: where a three-word hash is least among its neighbours."""
-    g = _runs(h, 3)
-    least = np.ones(len(g), bool)
-    for k in range(1, REACH + 1):
-        least[k:] &= g[k:] < g[:-k]
-        least[:-k] &= g[:-k] <= g[k:]
-        least[:k] = least[len(least) - k :] = False
-    return np.concatenate([[0], np.flatnonzero(least)]).astype(np.int64)
+def window_starts(g: np.ndarray, room: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of window paragraphs: the least shingle hash of each REACH successive places.
 
+    g: shingle hashes of texts one after another; room: how many words a text has from each
+    place on; first: where texts begin. A place needs WINDOW words. A text with fewer than
+    REACH such places has at least one window all the same.
+    """
+    fits = room >= WINDOW
+    least = _sliding(g, REACH, np.minimum, _NONE)
+    whole = room >= WINDOW + REACH - 1
+    reached = _sliding(np.where(whole, least, np.uint64(0))[::-1], REACH, np.maximum, np.uint64(0))[::-1]
+    chosen = fits & (reached == g)
+    for at in first[fits[first] & ~whole[first]].tolist():
+        chosen[at + int(g[at : at + room[at] - WINDOW + 1].argmin())] = True
+    return np.flatnonzero(chosen)
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Distinct five-word hashes of a paragraph; fewer words: one hash of all."""
-    return np.unique(_runs(h, WIDTH) if len(h) >= WIDTH else _runs(h, len(h)))
-
-
-def text_units(text: str, least_words: int) -> tuple[list, list]:
-    """Passages (first word, words, content) and the lines of `least_words` or more with bands."""
-    words, sizes = line_words(text)
-    if not words:
-        return [], []
-    h = np.fromiter(map(_KEPT.__getitem__, words), np.uint64, len(words))
-    at = cuts(h)
-    passages = list(zip(at.tolist(), np.diff(np.append(at, len(h))).tolist(), _contents(h, at).view(np.int64).tolist(), strict=True))
-    starts = np.cumsum(sizes) - sizes
-    long = np.flatnonzero(sizes >= max(least_words, WIDTH))
-    if not long.size:
-        return passages, []
-    content = _contents(h, starts)[long].view(np.int64)
-    runs = _runs(h, WIDTH)
-    counts = sizes[long] - WIDTH + 1
-    begin = np.cumsum(counts) - counts
-    own = runs[np.repeat(starts[long] - begin, counts) + np.arange(counts.sum())]
-    bands = np.zeros((len(long), BANDS), np.uint64)
-    for k, seed in enumerate(_SEEDS):
-        least = np.minimum.reduceat(_mix(own ^ seed), begin)
-        bands[:, k // ROWS] = _mix(bands[:, k // ROWS] * _MIX + least + np.uint64(k // ROWS))
-    return passages, list(zip(starts[long].tolist(), sizes[long].tolist(), content.tolist(), bands.view(np.int64).tolist(), strict=True))
+
+def _bands(shingle: np.ndarray, least, kind: int) -> np.ndarray:
+    """Bands by paragraph; `least` takes the smallest value of each paragraph.
+
+    Lines and windows have bands of their own, as the sizes of the two rule out the similarity.
+    """
+    out = []
+    for k in range(BANDS):
+        band = np.full(1, 2 * k + kind, np.uint64)
+        for r in range(ROWS):
+            at = k * ROWS + r
+            band = _mix(band * _MIX + least((shingle ^ _XOR[at]) * _TIMES[at]))
+        out.append(band)
+    return np.stack(out)
+
+
+def group_units(ids: np.ndarray, keys: np.ndarray, texts: list[str], known: WordHashes, least_words: int) -> pa.RecordBatch:
+    """The paragraphs of some texts: their lines of `least_words` or more, and windows."""
+    lines = [[line.split() for line in t.encode().lower().split(b"\n")] for t in texts]
+    sizes = np.array([sum(map(len, x)) for x in lines], np.int64)
+    # Between texts there is a gap of one place, so that no run of words goes from one to the next.
+    h = np.zeros(int(sizes.sum()) + len(texts), np.uint64)
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    real = np.ones(len(h), bool)
+    real[begin + sizes] = False
+    h[real] = hashes([w for x in lines for line in x for w in line], known)
+    text_of = np.repeat(np.arange(len(texts)), sizes + 1)
+    place = np.arange(len(h)) - begin[text_of]
+    room = sizes[text_of] - place
+    g = np.concatenate([_runs(h, WIDTH), np.full(min(WIDTH - 1, len(h)), _NONE)])
+
+    at = window_starts(g, room, begin[sizes > 0])
+    own = g[at[:, None] + np.arange(WINDOW - WIDTH + 1)]
+    ranked = np.sort(own, 1)
+    rich = (ranked[:, 1:] != ranked[:, :-1]).sum(1) + 1 >= LEAST_SHINGLES
+    at, own = at[rich], own[rich]
+    words = h[at[:, None] + np.arange(WINDOW)]
+    content = _mix((_mix(words + np.arange(WINDOW, dtype=np.uint64) * _MIX)).sum(1, dtype=np.uint64) + np.uint64(WINDOW))
+    bands = _bands(own, lambda x: x.min(1), 0)
+    code = np.where(real, 1 + h % np.uint64(255), 0).astype(np.uint8)
+    code = np.concatenate([np.zeros(REACH, np.uint8), code, np.zeros(REACH, np.uint8)])
+    before, after = code[at[:, None] + REACH - 1 - np.arange(REACH - 1)], code[at[:, None] + REACH + WINDOW + np.arange(REACH - 1)]
+    # Beyond the gap is another text: all codes from the first empty one on are empty.
+    around = np.concatenate([x * np.logical_and.accumulate(x > 0, 1) for x in (before, after)], 1)
+
+    line_sizes = np.array([len(line) for x in lines for line in x], np.int64)
+    line_text = np.repeat(np.arange(len(texts)), [len(x) for x in lines])
+    line_first = np.cumsum(line_sizes) - line_sizes + line_text
+    long = line_sizes >= max(least_words, WIDTH)
+    line_first, line_sizes = line_first[long], line_sizes[long]
+    counts = line_sizes - WIDTH + 1
+    starts = np.cumsum(counts) - counts
+    inner = g[np.repeat(line_first - starts, counts) + np.arange(counts.sum())]
+    if len(starts):
+        line = np.repeat(np.arange(len(starts)), counts)
+        order = np.lexsort((inner, line))
+        new = np.ones(len(inner), bool)
+        new[1:] = (inner[order][1:] != inner[order][:-1]) | (line[order][1:] != line[order][:-1])
+        rich = np.bincount(line[order][new], minlength=len(starts)) >= LEAST_SHINGLES
+        word_starts = np.cumsum(line_sizes) - line_sizes
+        nth = np.arange(line_sizes.sum()) - np.repeat(word_starts, line_sizes)
+        each = h[np.repeat(line_first, line_sizes) + nth]
+        line_content = _mix(np.add.reduceat(_mix(each + nth.astype(np.uint64) * _MIX), word_starts) + line_sizes.astype(np.uint64))
+        line_bands = _bands(inner, lambda x: np.minimum.reduceat(x, starts), 1)
+        line_first, line_sizes, line_content, line_bands = line_first[rich], line_sizes[rich], line_content[rich], line_bands[:, rich]
+    else:
+        line_content, line_bands = np.zeros(0, np.uint64), np.zeros((BANDS, 0), np.uint64)
+
+    where = np.concatenate([at, line_first])
+    text = text_of[where]
+    n, width = len(where), 2 * (REACH - 1)
+    offsets = np.minimum(np.arange(n + 1), len(at)) * width
+    binary = pa.Array.from_buffers(pa.binary(), n, [None if not len(line_first) else pa.array(np.arange(n) < len(at)).buffers()[1], pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(around.tobytes())])
+    columns = [pa.array(ids[text]), pa.array(keys[text]), pa.array(place[where].astype(np.int32)), pa.array(np.concatenate([np.full(len(at), WINDOW), line_sizes]).astype(np.int32)), pa.array(np.concatenate([content, line_content]).view(np.int64))]
+    columns += [pa.array(np.concatenate([a, b]).view(np.int64)) for a, b in zip(bands, line_bands, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, binary], names=["doc_id", "text_key", "first_word", "n_words", "content", *(f"b{k}" for k in range(BANDS)), "around"])
 
 
 def paragraph_units(docs: DataFrame, least_words: int) -> DataFrame:
-    """One row per paragraph: lines with bands, and passages (bands null)."""
+    """One row per paragraph. `around` has a byte for each of the words before and behind a
+    window, the nearest first (0: the text ends); it is null for lines."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                passages, lines = text_units(text, least_words)
-                rows += [(doc_id, *p, None) for p in passages]
-                rows += [(doc_id, *x) for x in lines]
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "content", "bands"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "content", "bands"])
+            ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            lo, size = 0, 0
+            for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+                size += n
+                if size >= 6 * GROUP_WORDS or k + 1 == batch.num_rows:
+                    made = group_units(ids[lo : k + 1], keys[lo : k + 1], texts[lo : k + 1].to_pylist(), known, least_words)
+                    for at in range(0, made.num_rows, SLICE):
+                        yield made.slice(at, SLICE)
+                    lo, size = k + 1, 0
 
-    return docs.where("doc_id is not null and text is not null").mapInPandas(make, UNITS)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text").mapInArrow(make, UNITS)
 
 
 def _needed_shingles(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """content and shingles of the lines in `needed` (content, doc_id, first_word, n_words)."""
-    wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct("content", "first_word", "n_words")).alias("lines"))
+    """content and shingles of the paragraphs in `needed` (content, doc_id, text_key, first_word, n_words)."""
+    wanted = needed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("content", "first_word", "n_words")).alias("some"))
 
-    @F.pandas_udf("array<struct<content: long, shingles: array<long>>>")
-    def of(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        out = []
-        for text, some in zip(texts, lines, strict=True):
-            words, _ = line_words(text)
-            h = np.fromiter(map(_KEPT.__getitem__, words), np.uint64, len(words))
-            out.append([{"content": x["content"], "shingles": shingles(h[x["first_word"] : x["first_word"] + x["n_words"]]).view(np.int64)} for x in some])
-        return pd.Series(out)
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            found = []
+            for text, contents, firsts, sizes in batch.itertuples(index=False):
+                g = _runs(hashes(text_words(text), known), WIDTH).view(np.int64)
+                found += [(c, np.unique(g[a : a + n - WIDTH + 1])) for c, a, n in zip(contents.tolist(), firsts.tolist(), sizes.tolist(), strict=True)]
+            for at in range(0, len(found), SLICE):
+                yield pd.DataFrame(found[at : at + SLICE], columns=["content", "shingles"])
 
-    first = docs.where("doc_id is not null and text is not null").join(wanted, "doc_id").select(F.explode(of("text", "lines")).alias("x")).select("x.*")
-    return first.dropDuplicates(["content"])
+    first = docs.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "text_key"])
+    return first.select("text", "some.content", "some.first_word", "some.n_words").mapInPandas(of, "content long, shingles array<long>").dropDuplicates(["content"])
 
 
 def _islands(spans: DataFrame) -> DataFrame:
     """Merges spans of a document that overlap or touch; the least kept_doc_id stays."""
-    order = Window.partitionBy("doc_id").orderBy("first_word", "last_word")
+    order = Window.partitionBy("doc_id", "text_key").orderBy("first_word", "last_word")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     fresh = spans.withColumn("fresh", (F.col("first_word") > F.coalesce(F.max("last_word").over(before), F.lit(-1))).cast("int"))
     numbered = fresh.withColumn("island", F.sum("fresh").over(order))
-    return numbered.groupBy("doc_id", "island").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("kept_doc_id").alias("kept_doc_id")).drop("island")
+    return numbered.groupBy("doc_id", "text_key", "island").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("kept_doc_id").alias("kept_doc_id"), F.max("line").alias("line")).drop("island")
+
+
+def _star_links(met: DataFrame, sets: DataFrame, similarity: float, total: int) -> DataFrame:
+    """Links of the entries of large buckets to the first of their bucket."""
+    large = met.where(F.col("n") > BLOCK)
+    firsts = large.groupBy("band").agg(F.min("content").alias("a"), F.count("*").alias("rows"))
+    pairs = join_counted(large.select("band", F.col("content").alias("b")), firsts, "band", "rows", total).where("a <> b").select("a", "b").distinct()
+    counted = sets.join(pairs.groupBy("a").agg(F.count("*").alias("n")), F.col("content") == F.col("a")).select("a", "n", F.col("shingles").alias("sa"))
+    both = join_counted(pairs, counted, "a", "n", total).join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _open_blocks(banded: DataFrame, large: DataFrame, reach: DataFrame) -> DataFrame:
-    """Entries of the large buckets that links do not connect yet, once for each pair of blocks.
+def _block_pairs(met: DataFrame) -> DataFrame:
+    """Entries of buckets that links do not connect yet, once for each pair of blocks.
 
     Buckets with the same entries count once. Returns band, low, high, side, content, label.
     """
-    within = cut(banded.join(large, "band", "left_semi").select("band", "content").join(reach.toDF("content", "label"), "content", "left").withColumn("label", F.coalesce("label", "content")))
     entries = F.sum(F.xxhash64("content").cast("decimal(38,0)"))
-    apart = within.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), entries.alias("sum")).where("least < most")
-    apart = apart.groupBy("n", "sum").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = within.join(apart, "band").withColumn("own", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return cut(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "content", "label"))
-
+    apart = met.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), entries.alias("sum")).where("least < most")
+    apart = apart.groupBy("n", "sum").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "n")
+    dealt = join_counted(met, apart, "band", "n", met.count()).where("parts is not null").withColumn("own", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "content", "label")
 
-def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    label = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
-    i, j = exact_links(group["shingles"].tolist(), group["side"].to_numpy(), similarity, label=label)
-    content = group["content"].to_numpy()
-    return pd.DataFrame({"a": content[i], "b": content[j]})
 
+def paragraph_links(docs: DataFrame, entries: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Links (a, b) of contents that span the components of colliding, similar paragraphs.
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = 25) -> DataFrame:
+    entries: content, keep (doc_id, text_key, first_word, n_words) and the bands. A bucket is
+    a band that several contents share, unless these are windows of one text that overlap.
+    All pairs of its entries are checked exactly, but for those that links connect already. A
+    bucket of over BLOCK entries is first compared with its first entry; what that leaves
+    apart is dealt to pairs of blocks.
+    """
+    # Places of one text differ by the words between them, those of different texts by far more.
+    at = F.shiftleft(F.xxhash64("keep.doc_id", "keep.text_key"), 24).bitwiseOR(F.col("keep.first_word").bitwiseAND(F.lit((1 << 24) - 1)).cast("long"))
+    banded = entries.select("content", at.alias("at"), F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).where(f"n > 1 and coalesce(try_subtract(high, low), {WINDOW}) >= {WINDOW}")
+    buckets = scratch.keep(buckets.select("band", "n", F.col("n").alias("size")), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    met = scratch.keep(join_counted(banded.drop("at"), buckets, "band", "n", total).where("size is not null").select("band", "content", F.col("size").alias("n")), "met")
+    named = entries.join(met.select("content").distinct(), "content", "left_semi").select("content", "keep.*")
+    sets = scratch.keep(_needed_shingles(docs, named), "shingles")
+    label = F.col("content")
+    links = None
+    if met.where(F.col("n") > BLOCK).head(1):
+        links = scratch.keep(_star_links(met, sets, similarity, total), "star")
+        met = met.join(components(links, scratch).toDF("content", "label"), "content", "left")
+        label = F.coalesce("label", "content")
+    blocks = scratch.keep(_block_pairs(scratch.keep(met.select("band", "content", label.alias("label")), "labelled")), "blocks")
+    more = similar_links(blocks.join(sets, "content").select("band", "low", "high", F.col("content").alias("id"), "side", "label", F.col("shingles").alias("s")), ["band", "low", "high"], similarity)
+    return more if links is None else links.unionAll(more)
+
+
+@F.pandas_udf(T.StructType([T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType())]))
+def _equal_words(own: pd.Series, kept: pd.Series) -> pd.DataFrame:
+    """How many words before and behind two windows are equal, one after another."""
+    n = REACH - 1
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 2, n) for x in (own, kept))
+    run = np.logical_and.accumulate((a == b) & (a > 0), 2).sum(2)
+    return pd.DataFrame({"left": run[:, 0], "right": run[:, 1]})
+
+
+def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = 25, least_run: int = 40) -> DataFrame:
     """Spans of words that repeat an earlier paragraph of any document.
 
-    Paragraphs are of two kinds. Lines of `least_words` or more get a MinHash signature of
-    their five-word shingles, cut into bands. Equal lines are one entry; of the entries in a
-    bucket each is paired with its neighbour and with the first, a number of pairs in
-    proportion to the entries; pairs whose exact Jaccard similarity is `similarity` or more
-    are linked, and components of links are classes. Passages, 13 words on average, are
-    parts of the text between cuts that depend on the nearby words alone, so that a text
-    copied into the middle of other lines has the same passages there; equal ones are a
-    class. The first paragraph of each class (by doc_id and place) is kept; all others are
-    spans to remove. Spans that touch are merged, and those of `least_words` or more stay.
+    Paragraphs are lines of `least_words` or more, and windows of WINDOW words that start at
+    content-defined places, so that a passage of 50 words or more has a window inside
+    wherever it was pasted. Every paragraph gets a MinHash signature of its five-word shingles,
+    cut into bands; equal ones (same words) are one entry, as they share all bands. All pairs
+    of entries that collide in a band are verified by their exact Jaccard similarity, unless
+    links connect them already, and components of links of `similarity` or more are classes.
+    The first paragraph of each class (by doc_id, text and place) is kept; all others are
+    spans to remove, windows together with the words around them that equal those around the
+    kept one (by a byte per word: an end may take in a word too much with a probability of
+    1/255). Spans that touch are merged; those with a whole line stay, and of the others those
+    of `least_run` words or more.
 
     Returns doc_id, first_word, n_words (counted over the text's words, parted by the six
-    blanks) and kept_doc_id. Null texts, and rows with a null doc_id, have no spans and are
-    left alone; rows that repeat a doc_id count as one document; a repetition inside one
-    document is a span as well; a very common paragraph is a single entry after partial
-    aggregation, and its rows meet a table of classes in a join that can be split.
+    blanks), kept_doc_id and text_key, which tells texts that share a doc_id apart. Null
+    texts, and rows with a null doc_id, have no spans and are left alone; rows equal in doc_id
+    and text count as one document; a repetition inside one document is a span as well. A
+    paragraph with fewer than LEAST_SHINGLES distinct shingles is none. A very common
+    paragraph is a single entry after partial aggregation, and its rows are dealt evenly.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    units = stored(paragraph_units(docs, least_words), "paragraphs")
-    place = F.struct("doc_id", "first_word")
-
-    passages = units.where("bands is null").select("doc_id", "first_word", "n_words", "content")
-    twice = cut(passages.groupBy("content").agg(F.count("*").alias("n"), F.min(place).alias("keep")).where("n > 1").select("content", "keep"))
-
-    lines = units.where("bands is not null")
-    entries = cut(lines.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first_word", "n_words")).alias("keep"), F.first("bands").alias("bands")))
-    bucket = Window.partitionBy("band").orderBy("content")
-    banded = entries.select("content", F.posexplode("bands").alias("k", "band"))
-    pairs = banded.select("content", F.lag("content").over(bucket).alias("before"), F.first("content").over(bucket).alias("first"), F.when(F.row_number().over(bucket) > 3, F.col("band")).alias("large")).where("before is not null")
-    pairs = pairs.select("content", "large", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("content <> other")
-    pairs = cut(pairs.groupBy(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).agg(F.collect_set("large").alias("large")))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    needed = entries.join(named, "content").select("content", "keep.*")
-    sets = stored(_needed_shingles(docs, needed), "shingles")
-    both = pairs.drop("large").join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    reach = cut(components(links))
-    blocks = _open_blocks(banded, pairs.select(F.explode("large").alias("band")).distinct(), reach)
-    if blocks.head(1):
-        more = blocks.join(sets, "content").groupBy("band", "low", "high").applyInPandas(lambda group: _block_links(group, similarity), "a long, b long")
-        reach = components(reach.toDF("a", "b").unionAll(more))
-    reach = reach.withColumnRenamed("node", "content")
-    classed = entries.join(reach, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    least = classed.groupBy("component").agg(F.min(F.struct("keep.doc_id", "keep.first_word")).alias("first"), F.sum("n").alias("rows"))
-    line_classes = cut(classed.join(least.where("rows > 1"), "component").select("content", F.col("first").alias("keep")))
-
-    def spans(some: DataFrame, classes: DataFrame) -> DataFrame:
-        met = some.join(classes, "content").where(place != F.col("keep"))
-        return met.select("doc_id", "first_word", (F.col("first_word") + F.col("n_words")).alias("last_word"), F.col("keep.doc_id").alias("kept_doc_id"))
-
-    found = _islands(spans(passages, twice).unionAll(spans(lines.drop("bands"), line_classes)))
-    return found.select("doc_id", "first_word", (F.col("last_word") - F.col("first_word")).alias("n_words"), "kept_doc_id").where(F.col("n_words") >= least_words)
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
+    place = F.struct("doc_id", "text_key", "first_word", "n_words")
+    bands = [f"b{k}" for k in range(BANDS)]
+    with Scratch(docs.sparkSession) as scratch:
+        units = scratch.keep(paragraph_units(docs, least_words), "paragraphs")
+        entries = scratch.keep(units.groupBy("content").agg(F.count("*").alias("n"), F.min(place).alias("keep"), *[F.first(b).alias(b) for b in bands]), "entries")
+        links = scratch.keep(paragraph_links(docs, entries, scratch, similarity), "links")
+        reach = components(links, scratch).withColumnRenamed("node", "content")
+        classed = entries.join(reach, "content", "left").where("n > 1 or component is not null").select("content", "n", "keep", F.coalesce("component", "content").alias("component"))
+        classed = scratch.keep(classed, "classed")
+        least = classed.groupBy("component").agg(F.min("keep").alias("first"), F.sum("n").alias("rows"), F.count("*").alias("contents"))
+        total = units.count()
+        classes = scratch.keep(join_counted(classed, least, "component", "contents", total).select("content", "n", "first", "rows"), "classes")
+        members = join_counted(units.drop(*bands), classes, "content", "n", total).where("first is not null")
+        members = scratch.keep(members.select("doc_id", "text_key", "first_word", "n_words", "around", F.xxhash64("first").alias("class"), "first", "rows").distinct(), "members")
+        scratch.drop(units, entries)
+        kept = members.where(place == F.col("first")).select("class", "rows", F.col("around").alias("kept_around")).dropDuplicates(["class"])
+        # A window that overlaps the kept one is not its repetition.
+        other = (place != F.col("first")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("first_word") < F.col("first.first_word") + F.col("first.n_words")))
+        met = join_counted(members.where(other).drop("rows"), kept, "class", "rows", total)
+        none = F.lit(bytes(2 * (REACH - 1)))
+        met = met.withColumn("more", _equal_words(F.coalesce("around", none), F.coalesce("kept_around", none)))
+        spans = met.select("doc_id", "text_key", (F.col("first_word") - F.col("more.left")).alias("first_word"), (F.col("first_word") + F.col("n_words") + F.col("more.right")).alias("last_word"), F.col("first.doc_id").alias("kept_doc_id"), F.col("around").isNull().alias("line"))
+        found = _islands(spans.distinct()).withColumn("n_words", F.col("last_word") - F.col("first_word"))
+        return stored(found.where(f"line or n_words >= {least_run}").select("doc_id", "first_word", "n_words", "kept_doc_id", "text_key"), "spans")
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -235,19 +345,26 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     starts = [m.start() for m in _WORD.finditer(data)] + [len(data)]
     out, at = [], 0
     for first, n in sorted(spans):
-        out.append(data[at : starts[first]])
+        out.append(data[at : starts[min(first, len(starts) - 1)]])
         at = starts[min(first + n, len(starts) - 1)]
     return b"".join([*out, data[at:]]).decode()
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with the spans cut out of their texts; adds cut_words, how many went."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans__"), F.sum("n_words").alias("cut_words")).withColumnRenamed("doc_id", "key__")
+    """`docs` with the spans cut out of their texts; adds cut_words, how many went.
+
+    A span belongs to the rows with its doc_id and text; rows with a null doc_id or text,
+    which have no spans, are dealt evenly in the join.
+    """
+    listed = spans.groupBy(F.col("doc_id").alias("id__"), F.col("text_key").alias("key__")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans__"), F.sum("n_words").alias("cut_words")).withColumn("salt__", F.lit(0).cast("long"))
     docs = without(docs, "cut_words")
+    own = [F.col(f"`{c}`") for c in docs.columns]
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, some: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else cut_spans(t, [(x["first_word"], x["n_words"]) for x in s]) for t, s in zip(texts, some, strict=True)], dtype=object)
 
-    met = docs.join(listed, F.col(f"`{doc_id}`") == F.col("key__"), "left").withColumn("text__", cut_out(F.col(f"`{text}`"), F.col("spans__")))
-    return met.select(*[F.col("text__").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce("cut_words", F.lit(0)).alias("cut_words"))
+    at = docs.select(F.struct(*own).alias("row__"), F.col(f"`{doc_id}`").cast("long").alias("doc__"), F.xxhash64(F.col(f"`{text}`")).alias("text_key__"), F.col(f"`{text}`").alias("text__"))
+    at = at.withColumn("at__", F.when(F.col("doc__").isNotNull() & F.col("text__").isNotNull(), F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+    met = at.join(listed, (F.col("doc__") == F.col("id__")) & (F.col("text_key__") == F.col("key__")) & (F.col("at__") == F.col("salt__")), "left").withColumn("text__", cut_out("text__", "spans__"))
+    return met.select(*[F.col("text__").alias(text) if c == text else F.col("row__")[c].alias(c) for c in docs.columns], F.coalesce("cut_words", F.lit(0).cast("long")).alias("cut_words"))
