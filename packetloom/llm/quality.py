@@ -16,22 +16,37 @@ BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms o
 _BARE = r"translate({}, ' \t\n\u000b\u000c\r', '')"
 
 
-def line_fails(line: str = "x", *, symbol_percent: int = 10, shout_percent: int = 60, pipes: int = 3) -> str:
+#: Symbols of the punctuation rule and marks of the navigation rule, as SQL text.
+_SYMBOLS, _BARS = r"'#*$%&|<>!^~=\\{}'", "'|>»•'"
+
+
+def _count(text: str, marks: str) -> str:
+    return f"(char_length({text}) - char_length(translate({text}, {marks}, '')))"
+
+
+def _phrases(lowered: str) -> str:
+    return "(" + " or ".join(f"contains({lowered}, '{p}')" for p in BOILERPLATE) + ")"
+
+
+def line_fails(line: str = "x", *, symbol_percent: int = 10, shout_percent: int = 60, pipes: int = 3, has_symbols: str = "true", has_bars: str = "true", has_phrases: str = "true") -> str:
     """SQL for a line that breaks a rule; `line` is an SQL name.
 
+    The last three are SQL conditions of the whole text without which no line can break
+    the rule, so that most lines of most texts are not looked at for it.
+
     Punctuation: symbols and exclamation marks are over `symbol_percent` of the characters,
     or over `shout_percent` of at least 20 letters are capitals. Navigation: at least
     `pipes` bars, arrows or bullets, one for every three words or more. Boilerplate: one of
     the phrases in BOILERPLATE.
     """
     bare = _BARE.format(line)
-    symbols = f"(char_length({line}) - char_length(translate({line}, '#*$%&|<>!^~=\\\\{{}}', '')))"
     capitals = f"(char_length({line}) - char_length(regexp_replace({line}, '\\\\p{{Lu}}', '')))"
     letters = f"(char_length({line}) - char_length(regexp_replace({line}, '\\\\p{{L}}', '')))"
-    bars = f"(char_length({line}) - char_length(translate({line}, '|>»•', '')))"
+    bars = _count(line, _BARS)
     blanks = f"(char_length({line}) - char_length({bare}))"
-    phrases = " or ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
-    return f"(100 * {symbols} > {symbol_percent} * char_length({bare}) or ({bars} >= {pipes} and 3 * {bars} >= {blanks} + 1) or ({letters} >= 20 and 100 * {capitals} > {shout_percent} * {letters}) or {phrases})"
+    # Over half of a line's letters can only be capitals if two capitals follow one another.
+    shouts = f"{line} rlike '\\\\p{{Lu}}\\\\P{{L}}*+\\\\p{{Lu}}'" if shout_percent >= 50 else "true"
+    return f"(({has_symbols} and 100 * {_count(line, _SYMBOLS)} > {symbol_percent} * char_length({bare})) or ({has_bars} and {bars} >= {pipes} and 3 * {bars} >= {blanks} + 1) or ({shouts} and {letters} >= 20 and 100 * {capitals} > {shout_percent} * {letters}) or ({has_phrases} and {_phrases(f'lower({line})')}))"
 
 
 def clean_lines(docs: DataFrame, *, text: str = "text", min_words: int = 50, repeat_percent: int = 50, lost_percent: int = 40) -> DataFrame:
@@ -57,11 +72,13 @@ def clean_lines(docs: DataFrame, *, text: str = "text", min_words: int = 50, rep
     step = step.withColumn("p__", F.expr("CASE WHEN d__ THEN sort_array(transform(h__, (x, i) -> named_struct('h', x, 'i', i))) END"))
     step = step.withColumn("f__", F.expr("sort_array(transform(filter(p__, (x, i) -> x.h = get(p__, i + 1).h or x.h = get(p__, i - 1).h), x -> x.i))"))
     step = step.withColumn("n_repeat_words", F.expr("CASE WHEN d__ THEN cast(aggregate(transform(f__, (x, i) -> least(3, coalesce(get(f__, i + 1) - x, 3))), 0, (a, x) -> a + x) AS long) ELSE 0L END"))
-    step = step.withColumn("g__", F.expr(f"filter(l__, x -> not {line_fails()})"))
+    # Lambda variables hold what is asked of the whole text, so that no line evaluates it anew.
+    flags = f"transform(array(lower({t})), y -> named_struct('s', {_count(t, _SYMBOLS)} > 0, 'v', {_count(t, _BARS)} > 0, 'b', {_phrases('y')}))"
+    step = step.withColumn("g__", F.expr(f"transform({flags}, f -> filter(l__, x -> not {line_fails(has_symbols='f.s', has_bars='f.v', has_phrases='f.b')}))[0]"))
     chars = "cast(aggregate({}, 0, (a, x) -> a + char_length(" + _BARE.format("x") + ")) AS long)"
     step = step.selectExpr(
         "*", "cast(n__ AS long) AS n_words", f"cast(char_length({_BARE.format(t)}) AS long) AS word_chars", f"cast(char_length({t}) - char_length(translate({t}, '#*$%&|<>', '')) AS long) AS n_symbols",
-        "cast(size(l__) - size(array_distinct(l__)) AS long) AS n_dup_lines", "cast(size(l__) AS long) AS n_lines", "cast(size(l__) - size(g__) AS long) AS n_bad_lines", f"{chars.format('g__')} AS good__",
+        "cast(size(l__) - size(array_distinct(l__)) AS long) AS n_dup_lines", "cast(size(l__) AS long) AS n_lines", "cast(size(l__) - size(g__) AS long) AS n_bad_lines", f"CASE WHEN size(g__) = size(l__) THEN cast(char_length({_BARE.format(t)}) AS long) ELSE {chars.format('g__')} END AS good__",
     )
     step = step.selectExpr("*", f"(n_words < {min_words} or 100 * n_repeat_words > {repeat_percent} * n_words) AS base_failed", "word_chars AS line_chars", "word_chars - good__ AS lost_chars")
     step = step.selectExpr("*", f"(not base_failed and 100 * lost_chars <= {lost_percent} * line_chars) AS kept", f"CASE WHEN `{text}` IS NOT NULL THEN array_join(g__, '\\n') END AS clean_text")
