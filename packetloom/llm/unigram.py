@@ -7,10 +7,10 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +183,11 @@ class Trie:
 
 
 class Encoder(dict):
-    """For a segment: the ids of its best path as little-endian bytes."""
+    """For a segment: the ids of its best path as little-endian bytes, and the bytes these decode to.
+
+    Segments are encoded and decoded one by one, and what a text's segments give is joined:
+    no piece crosses two segments, and the bytes of a run of ids are those of each in turn.
+    """
 
     def __init__(self, vocabulary: Vocabulary, trie: Trie, most: int = 500_000):
         super().__init__()
@@ -196,26 +200,30 @@ class Encoder(dict):
         """Viterbi over bytes: starts ascend, and only a higher score replaces a path."""
         data, base, check, value, units = segment.encode(), self.trie.base, self.trie.check, self.trie.value, self.units
         n = len(data)
-        score: list[int | None] = [0] + [None] * n
+        low = -(1 << 62)
+        score = [0] + [low] * n
         origin, piece = [0] * (n + 1), [-1] * (n + 1)
         start = 0
         while start < n:
             first = data[start]
             width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-            here, single, state = score[start], False, 0
-            for at in range(start, n):
-                to = base[state] + data[at]
-                if to >= len(check) or check[to] != state or to == 0 or base[state] == 0:
+            here, single, state, end = score[start], False, 0, start
+            # A state without children has base 0, and no cell below 257 belongs to a state.
+            for byte in data[start:]:
+                end += 1
+                to = base[state] + byte
+                if check[to] != state:
                     break
                 state, found = to, value[to]
                 if found >= 0:
-                    new, end = here + units[found], at + 1
-                    if score[end] is None or new > score[end]:
+                    new = here + units[found]
+                    if new > score[end]:
                         score[end], origin[end], piece[end] = new, start, found
-                    single = single or end - start == width
+                    if end - start == width:
+                        single = True
             if not single:
                 new, end = here + self.unknown, start + width
-                if score[end] is None or new > score[end]:
+                if new > score[end]:
                     score[end], origin[end], piece[end] = new, start, -1
             start += width
         ids: list[int] = []
@@ -226,13 +234,14 @@ class Encoder(dict):
             end = start
         return ids[::-1]
 
-    def __missing__(self, segment: str) -> bytes:
+    def __missing__(self, segment: str) -> tuple[bytes, bytes]:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.best(segment), "<u4").tobytes()
+        ids = self.best(segment)
+        both = np.array(ids, "<i4").tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
         if len(segment) <= 64:
-            self[segment] = ids
-        return ids
+            self[segment] = both
+        return both
 
     def decode(self, ids: list[int]) -> str:
         """Pieces and fallback bytes joined, markers as spaces, without the leading one."""
@@ -280,23 +289,23 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "doc_
     context = docs.sparkSession.sparkContext
     shared, trie = context.broadcast(vocabulary), context.broadcast(Trie(vocabulary))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _kept("encode", shared.value, lambda: Encoder(shared.value, trie.value))
         breaks = shared.value.breaks
         for batch in batches:
-            for at in range(0, len(batch), slice_rows):
-                part = batch.iloc[at : at + slice_rows]
-                ids = [np.frombuffer(b"".join(map(encoder.__getitem__, segments(t, breaks))), "<i4") for t in part["text"]]
-                yield part.assign(ids=ids, decoded=[encoder.decode(i.tolist()) for i in ids])
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
+                made = [list(map(encoder.__getitem__, segments(t, breaks))) for t in part.column(1).to_pylist()]
+                ids = [b"".join([x for x, _ in m]) for m in made]
+                decoded = [b"".join([x for _, x in m]).removeprefix(b" ") for m in made]
+                offsets = np.cumsum([0, *map(len, ids)]) // 4
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return named.mapInPandas(encode, "doc_id long, text string, ids array<int>, decoded string")
+    return named.mapInArrow(encode, "doc_id long, text string, ids array<int>, decoded string")
 
 
 def ids_digest(ids: str = "ids") -> Column:
     """CRC-32 of the ids as text parted by spaces, with built-in functions."""
     return F.crc32(F.encode(F.array_join(F.col(ids).cast("array<string>"), " "), "UTF-8")).cast("long")
-
-
-def digest_of(ids: list[int]) -> int:
-    return crc32(" ".join(map(str, ids)).encode())
