@@ -31,8 +31,11 @@ def flag(condition: Column) -> Column:
 
 
 def find_byte(payload: str, value: int) -> Column:
-    """Offset from 0 of the first such byte, -1 if there is none."""
-    return F.expr(f"position(X'{value:02X}' IN `{payload}`) - 1")
+    """Offset from 0 of the first such byte, -1 if there is none.
+
+    Bytes become characters one by one; as UTF-8 a byte behind a stray lead byte would be lost.
+    """
+    return F.instr(F.decode(F.col(payload), "ISO-8859-1"), chr(value)) - 1
 
 
 def infer_protocol(payload: str = "payload", src: str = "src_port", dst: str = "dst_port", has_dns: Column | None = None) -> Column:
@@ -222,5 +225,5 @@ def dns_columns(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.withColumns({
         "dns_rcode": F.when(there, flags.bitwiseAND(F.lit(15))), "dns_authoritative": bit(10), "dns_truncated": bit(9), "dns_recursion_available": bit(7), "dns_answer_count": F.when(there, u16(payload, 6)), "dns_qname": name, "dns_qname_length": F.length(name),
         "dns_qname_entropy": F.when(name.isNotNull(), entropy(name)), "dns_label_count": F.regexp_count(name, F.lit(r"\.")) + 1, "dns_qtype": F.col("d__.qtype"), "dns_digit_ratio": F.regexp_count(name, F.lit(r"\d")) / size, "dns_hyphen_ratio": F.regexp_count(name, F.lit("-")) / size,
-        "dns_ngram_score": F.round(F.regexp_count(name, F.lit(r"\p{L}")) / size, 4), "dns_ttl": F.col("d__.ttl"), "dns_response_size": F.when(bit(15) == 1, F.length(payload)),
+        "dns_ngram_score": F.bround(F.regexp_count(name, F.lit(r"\p{L}")) / size, 4), "dns_ttl": F.col("d__.ttl"), "dns_response_size": F.when(bit(15) == 1, F.length(payload)),
     }).drop("d__")

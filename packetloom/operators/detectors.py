@@ -1,12 +1,13 @@
-"""Anomaly detectors in numpy: fitted on a bounded sample, scored where the rows are.
+"""Anomaly detectors in numpy: fitted on what bounds the driver, scored where the rows are.
 
-`fit_rows` draws the sample by seeded hash; it bounds what the driver holds and what is
-broadcast. A higher score is more anomalous. Values that are null or not finite count as 0.
+A higher score is more anomalous. Values that are null or not finite count as 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Any, Protocol
 
 import numpy as np
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.operators import prepare
+
 
 class Detector(Protocol):
     def fit(self, x: np.ndarray) -> Any: ...
@@ -170,19 +173,34 @@ class PcaReconstruction:
 class LstmAutoencoder:
     """Encoder, latent layer and decoder over windows of rows in order; squared errors by step.
 
-    Adam on the mean squared error; the last share of the windows validates, training stops
-    after `patience` epochs without gain and the best weights come back.
+    Both sides are stacks of `layers`, with dropout between layers while fitting. Adam on the
+    mean squared error; the last share of the windows validates, training stops after
+    `patience` epochs without gain and the best weights come back. The defaults are the
+    reference's; `most_windows` windows, evenly spread, are fitted at most.
     """
 
-    def __init__(self, length: int = 10, hidden: int = 16, latent: int = 8, epochs: int = 20, patience: int = 5, rate: float = 0.005, batch: int = 64, validation: float = 0.15, most_windows: int = 2000, seed: int = 42):
-        if length < 2 or hidden < 1 or latent < 1 or not 0 <= validation < 0.5:
-            raise ValueError("length is 2 or more, sizes positive, validation from 0 to below 0.5")
-        self.length, self.hidden, self.latent, self.epochs, self.patience, self.rate, self.batch, self.validation, self.most, self.seed = length, hidden, latent, epochs, patience, rate, batch, validation, most_windows, seed
+    def __init__(self, length: int = 10, stride: int = 10, hidden: int = 128, latent: int = 64, layers: int = 2, dropout: float = 0.2, rate: float = 0.001, batch: int = 256, epochs: int = 100, validation: float = 0.15, patience: int = 15, most_windows: int = 5000, seed: int = 42):
+        if length < 2:
+            raise ValueError("a window has two rows or more")
+        if not 1 <= stride <= length:
+            raise ValueError("the stride is from 1 to the window's length")
+        if min(hidden, latent, layers, batch, epochs, most_windows) < 1:
+            raise ValueError("sizes, layers, batch, epochs and windows are positive")
+        if not 0 <= dropout < 1 or not 0 <= validation < 0.5:
+            raise ValueError("dropout is from 0 to below 1, validation from 0 to below 0.5")
+        self.length, self.stride, self.hidden, self.latent, self.layers, self.dropout = length, stride, hidden, latent, layers, dropout
+        self.rate, self.batch, self.epochs, self.validation, self.patience, self.most, self.seed = rate, batch, epochs, validation, patience, most_windows, seed
+        self.history: list[dict[str, Any]] = []
+
+    def parameters(self) -> dict[str, Any]:
+        return {k: getattr(self, k) for k in ("length", "stride", "hidden", "latent", "layers", "dropout", "rate", "batch", "epochs", "validation", "patience", "most", "seed")}
 
     def _init(self, d: int) -> None:
-        rng = np.random.default_rng(self.seed)
-        h, z = self.hidden, self.latent
-        shapes = {"We": (d + h, 4 * h), "be": (4 * h,), "Wz": (h, z), "bz": (z,), "Wd": (z + h, 4 * h), "bd": (4 * h,), "Wo": (h, d), "bo": (d,)}
+        rng, h, z = np.random.default_rng(self.seed), self.hidden, self.latent
+        shapes: dict[str, tuple] = {"Wz": (h, z), "bz": (z,), "Wo": (h, d), "bo": (d,)}
+        for side, width in (("e", d), ("d", z)):
+            for k in range(self.layers):
+                shapes |= {f"W{side}{k}": ((h if k else width) + h, 4 * h), f"b{side}{k}": (4 * h,)}
         self.p = {k: rng.normal(0, (s[0]) ** -0.5, s) if len(s) == 2 else np.zeros(s) for k, s in shapes.items()}
 
     @staticmethod
@@ -216,68 +234,101 @@ class LstmAutoencoder:
             dh, dc = back[:, xh.shape[1] - h :], dc * f
         return dw, db, dx[::-1]
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def _stack(self, side: str, inputs: list[np.ndarray], rng: np.random.Generator | None) -> tuple[list, list]:
+        """States of each layer by step, and the dropout masks between layers."""
+        runs, masks = [], []
+        for k in range(self.layers):
+            runs.append(self._run(inputs, self.p[f"W{side}{k}"], self.p[f"b{side}{k}"]))
+            inputs = [step[7] for step in runs[-1]]
+            masks.append([(rng.random(x.shape) >= self.dropout) / (1 - self.dropout) for x in inputs] if rng is not None and self.dropout and k + 1 < self.layers else None)
+            if masks[-1]:
+                inputs = [x * m for x, m in zip(inputs, masks[-1], strict=True)]
+        return runs, masks
+
+    def _unstack(self, side: str, runs: list, masks: list, outer: list[np.ndarray], grads: dict) -> list[np.ndarray]:
+        for k in reversed(range(self.layers)):
+            if masks[k]:
+                outer = [x * m for x, m in zip(outer, masks[k], strict=True)]
+            grads[f"W{side}{k}"], grads[f"b{side}{k}"], outer = self._back(runs[k], self.p[f"W{side}{k}"], outer)
+        return outer
+
+    def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, tuple]:
         steps = x.shape[1]
-        enc = self._run([x[:, t] for t in range(steps)], self.p["We"], self.p["be"])
-        z = enc[-1][7] @ self.p["Wz"] + self.p["bz"]
-        dec = self._run([z] * steps, self.p["Wd"], self.p["bd"])
-        return np.stack([k[7] @ self.p["Wo"] + self.p["bo"] for k in dec], 1), (enc, dec)
-
-    def gradients(self, x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        y, (enc, dec) = self.forward(x)
-        error = 2 * (y - x) / x.size
-        g = {"Wo": sum(k[7].T @ error[:, t] for t, k in enumerate(dec)), "bo": error.sum((0, 1))}
-        g["Wd"], g["bd"], dz = self._back(dec, self.p["Wd"], [error[:, t] @ self.p["Wo"].T for t in range(x.shape[1])])
-        dz = sum(dz)
-        g["Wz"], g["bz"] = enc[-1][7].T @ dz, dz.sum(0)
-        zero = np.zeros_like(enc[0][7])
-        g["We"], g["be"], _ = self._back(enc, self.p["We"], [zero] * (x.shape[1] - 1) + [dz @ self.p["Wz"].T])
+        enc = self._stack("e", [x[:, t] for t in range(steps)], rng)
+        z = enc[0][-1][-1][7] @ self.p["Wz"] + self.p["bz"]
+        dec = self._stack("d", [z] * steps, rng)
+        return np.stack([k[7] @ self.p["Wo"] + self.p["bo"] for k in dec[0][-1]], 1), (enc, dec)
+
+    def gradients(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        y, (enc, dec) = self.forward(x, rng)
+        error, steps = 2 * (y - x) / x.size, x.shape[1]
+        g = {"Wo": sum(k[7].T @ error[:, t] for t, k in enumerate(dec[0][-1])), "bo": error.sum((0, 1))}
+        dz = sum(self._unstack("d", *dec, [error[:, t] @ self.p["Wo"].T for t in range(steps)], g))
+        last = enc[0][-1][-1][7]
+        g["Wz"], g["bz"] = last.T @ dz, dz.sum(0)
+        self._unstack("e", *enc, [np.zeros_like(last)] * (steps - 1) + [dz @ self.p["Wz"].T], g)
         return float(((y - x) ** 2).mean()), g
 
-    def _windows(self, x: np.ndarray) -> np.ndarray:
-        length = min(self.length, len(x))
-        starts = sorted({*range(0, len(x) - length + 1, length), len(x) - length})
-        return np.stack([x[s : s + length] for s in starts])
-
-    def fit(self, x: np.ndarray) -> LstmAutoencoder:
-        self._init(x.shape[1])
-        w = self._windows(x)
-        if len(w) > self.most:
-            w = w[np.linspace(0, len(w) - 1, self.most).astype(int)]
-        cut = len(w) - int(len(w) * self.validation)
-        train, held = w[:cut], w[cut:] if cut < len(w) else w
+    def starts(self, n: int) -> tuple[int, np.ndarray]:
+        """The length of windows over n rows, and where they begin: every stride, and one that ends at the last row."""
+        length = min(self.length, n)
+        return length, np.unique(np.append(np.arange(0, n - length + 1, min(self.stride, length)), n - length))
+
+    def fitted_starts(self, n: int) -> tuple[int, np.ndarray]:
+        length, starts = self.starts(n)
+        return length, starts if len(starts) <= self.most else starts[np.linspace(0, len(starts) - 1, self.most, dtype=int)]
+
+    def _windows(self, x: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray:
+        return x[starts[:, None] + np.arange(length)]
+
+    def fit(self, x: np.ndarray, tell: Callable[..., None] = lambda **event: None) -> LstmAutoencoder:
+        """Fits on rows that follow one another."""
+        return self.fit_windows(self._windows(x, *self.fitted_starts(len(x))), tell)
+
+    def fit_windows(self, w: np.ndarray, tell: Callable[..., None] = lambda **event: None) -> LstmAutoencoder:
+        self._init(w.shape[2])
+        held = round(len(w) * self.validation)
+        held = 0 if held >= len(w) - 1 else held
+        train, check = w[: len(w) - held], w[len(w) - held :]
+        tell(event="lstm_started", epochs=self.epochs, training_windows=len(train), validation_windows=held, sequence_length=w.shape[1], input_features=w.shape[2])
         rng, moments, step = np.random.default_rng(self.seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
         best, stalled, kept, self.history = np.inf, 0, self.p, []
         for epoch in range(1, self.epochs + 1):
-            losses, order = [], rng.permutation(len(train))
+            total, order = 0.0, rng.permutation(len(train))
             for at in range(0, len(order), self.batch):
-                loss, grads = self.gradients(train[order[at : at + self.batch]])
-                losses.append(loss)
+                part = train[order[at : at + self.batch]]
+                loss, grads = self.gradients(part, rng)
+                total += loss * len(part)
                 step += 1
                 for k, g in grads.items():
                     m, v = moments[k]
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     self.p[k] -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            loss = float(((self.forward(held)[0] - held) ** 2).mean())
-            stalled = 0 if loss < best - 1e-9 else stalled + 1
+            known = float(((self.forward(check)[0] - check) ** 2).mean()) if held else None
+            watched = total / len(train) if known is None else known
+            stalled = 0 if watched < best - 1e-8 else stalled + 1
             if not stalled:
-                best, kept = loss, {k: v.copy() for k, v in self.p.items()}
-            self.history.append({"epoch": epoch, "train_loss": float(np.mean(losses)), "validation_loss": loss, "learning_rate": self.rate, "best_loss": best, "stalled_epochs": stalled})
+                best, kept = watched, {k: v.copy() for k, v in self.p.items()}
+            self.history.append({"epoch": epoch, "train_loss": total / len(train), "validation_loss": known, "learning_rate": self.rate, "best_loss": best, "stalled_epochs": stalled})
+            tell(event="epoch", epochs=self.epochs, **self.history[-1])
             if stalled >= self.patience:
                 break
         self.p = kept
+        tell(event="lstm_completed", epochs=self.epochs, epochs_completed=len(self.history), best_loss=best, stopped_early=len(self.history) < self.epochs)
         return self
 
+    def errors(self, w: np.ndarray) -> np.ndarray:
+        """Mean squared error of each step of each window."""
+        return ((self.forward(w)[0] - w) ** 2).mean(2)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """A row's mean error over the windows that cover it; rows are in order."""
-        length = min(self.length, len(x))
-        starts = sorted({*range(0, len(x) - length + 1, length), len(x) - length})
-        errors = ((self.forward(self._windows(x))[0] - self._windows(x)) ** 2).mean(2)
+        length, starts = self.starts(len(x))
         total, n = np.zeros(len(x)), np.zeros(len(x))
-        for s, e in zip(starts, errors, strict=True):
-            total[s : s + length] += e
-            n[s : s + length] += 1
+        at = starts[:, None] + np.arange(length)
+        np.add.at(total, at, self.errors(self._windows(x, length, starts)))
+        np.add.at(n, at, 1)
         return total / n
 
 
@@ -288,14 +339,59 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return finite(np.array([np.asarray(v, float) for v in values]))
 
 
-def fit_detector(df: DataFrame, features: str, detector: Detector, key: str, fit_rows: int = 2000, seed: int = 42) -> Detector:
-    """Fits on the `fit_rows` rows with the smallest seeded hash of the key, in the key's order."""
+def _moments(df: DataFrame, features: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and scatter matrix of a vector column, from sums over all rows."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, first, second = 0, None, None
+        for batch in batches:
+            if len(batch):
+                x = _matrix(batch[features])
+                n += len(x)
+                first = x.sum(0) if first is None else first + x.sum(0)
+                second = x.T @ x if second is None else second + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": n, "at": np.arange(first.size * (first.size + 1)), "v": np.concatenate([first, second.ravel()])})
+
+    made = df.select(features).mapInPandas(sums, "n long, at int, v double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).orderBy("at").collect()
+    n, d = made[0]["n"], int(np.sqrt(len(made)))
+    total = np.array([r["v"] for r in made])
+    mean = total[:d] / n
+    return n, mean, total[d:].reshape(d, d) - n * np.outer(mean, mean)
+
+
+def fit_detector(df: DataFrame, features: str, detector: Detector, key: str, fit_rows: int = 5000, seed: int = 42, tell: Callable[..., None] = lambda **event: None) -> Detector:
+    """Fits a detector on what it needs of the rows, which bounds what the driver holds.
+
+    A detector over windows gets whole windows of rows that follow one another in the key's
+    order, spread evenly over all of them; principal components come from sums over all
+    rows; a forest gets as many rows as its trees sample in all; any other one gets the
+    `fit_rows` rows with the smallest seeded hash of the key (all rows, if there are no more).
+    """
+    if isinstance(detector, LstmAutoencoder):
+        rows = prepare.with_row_id(df.select(F.col(key).alias("key__"), features), "key__")
+        length, starts = detector.fitted_starts(rows.count())
+        places = np.unique(starts[:, None] + np.arange(length))
+        wanted = df.sparkSession.createDataFrame(pd.DataFrame({"row_id": places}))
+        found = rows.join(F.broadcast(wanted), "row_id").select("row_id", features).toPandas().sort_values("row_id")
+        x = _matrix(found[features])
+        return detector.fit_windows(x[np.searchsorted(places, starts)[:, None] + np.arange(length)], tell)
+    if isinstance(detector, PcaReconstruction):
+        _, detector.mean, scatter = _moments(df, features)
+        values, vectors = np.linalg.eigh(scatter)
+        values = np.maximum(values[::-1], 0)
+        share = np.cumsum(values) / max(values.sum(), 1e-300)
+        detector.v = vectors[:, ::-1].T[: int(np.searchsorted(share, detector.keep)) + 1]
+        return detector
+    if isinstance(detector, IsolationForest):
+        fit_rows = detector.trees * detector.sample
     drawn = df.select(key, features).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(fit_rows).toPandas().sort_values(key)
     return detector.fit(_matrix(drawn[features]))
 
 
 def score_detector(df: DataFrame, features: str, detector: Detector, key: str, out: str = "anomaly_score", span: int = 10_000) -> DataFrame:
-    """Adds a score to every row. A detector over windows gets runs of `span` rows by key."""
+    """Adds a score to every row. A detector over windows gets runs of about `span` rows in the
+    key's order, each with the rows of the next run that its last windows reach into."""
     shared = df.sparkSession.sparkContext.broadcast(detector)
     if not isinstance(detector, LstmAutoencoder):
 
@@ -305,17 +401,38 @@ def score_detector(df: DataFrame, features: str, detector: Detector, key: str, o
 
         return df.withColumn(out, score(F.col(features)))
 
-    def of(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key)
-        return pd.DataFrame({key: part[key], out: shared.value.score(_matrix(part[features]))})
+    rows = prepare.with_row_id(df.select(F.col(key).alias("key__"), features), "key__").withColumnRenamed("row_id", "place__")
+    n = rows.count()
+    length = min(detector.length, n)
+    stride = min(detector.stride, length)
+    span = max(span // stride, 1) * stride
+    last = n - length
 
-    kind = dict(df.dtypes)[key]
-    return df.join(df.select(key, features, F.floor(F.col(key) / span).alias("run__")).groupBy("run__").applyInPandas(of, f"{key} {kind}, {out} double"), key)
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place__")
+        place, x, run = part["place__"].to_numpy(), _matrix(part[features]), int(part["run__"].iloc[0])
+        starts = np.arange(run * span, min((run + 1) * span, last + 1), stride)
+        if run * span <= last < (run + 1) * span and last % stride:
+            starts = np.append(starts, last)
+        at = starts[:, None] - place[0] + np.arange(length)
+        total, covered = np.zeros(len(x)), np.zeros(len(x), np.int64)
+        if len(starts):
+            np.add.at(total, at, shared.value.errors(x[at]))
+            np.add.at(covered, at, 1)
+        return pd.DataFrame({"place__": place, "e__": total, "c__": covered})
+
+    run = F.floor(F.col("place__") / span)
+    also = F.when((F.col("place__") % span < length - 1) & (run > 0), F.array(run, run - 1)).otherwise(F.array(run))
+    parts = rows.select("place__", features, F.explode(also).alias("run__")).groupBy("run__").applyInPandas(of, "place__ long, e__ double, c__ long")
+    means = parts.groupBy("place__").agg((F.sum("e__") / F.sum("c__")).alias(out))
+    scored = rows.select("key__", "place__").join(means, "place__").drop("place__")
+    return df.join(scored, F.col(key) == F.col("key__")).drop("key__")
 
 
 def permutation_importance(df: DataFrame, features: str, detector: Detector, names: list[str], key: str, most: int = 4000, seed: int = 42) -> list[tuple[str, float]]:
-    """Mean change of the score when one column of an evenly drawn sample is shuffled."""
-    x = _matrix(df.select(key, features).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most).toPandas().sort_values(key)[features])
+    """Mean change of the score when one column of an evenly spread sample is shuffled."""
+    rows = prepare.with_row_id(df.select(F.col(key).alias("key__"), features), "key__")
+    x = _matrix(prepare.systematic_sample(rows, "row_id", rows.count(), most).toPandas().sort_values("row_id")[features])
     rng, base, found = np.random.default_rng(seed), detector.score(x), []
     for k, name in enumerate(names):
         y = x.copy()
@@ -323,3 +440,50 @@ def permutation_importance(df: DataFrame, features: str, detector: Detector, nam
         found.append((name, float(np.abs(detector.score(y) - base).mean())))
     return found
 
+
+def importance(df: DataFrame, features: str, detector: Detector, names: list[str], key: str) -> tuple[str, list[tuple[str, float]]]:
+    """How, and how much, each input matters: a forest by its splits, others by permutation."""
+    if isinstance(detector, IsolationForest):
+        return "isolation_tree_split_gain", list(zip(names, detector.importance().tolist(), strict=True))
+    return "permutation_score_shift", permutation_importance(df, features, detector, names, key)
+
+
+def raw_feature(column: str, features: list[str]) -> str:
+    """The feature that an input column comes from: the longest name that it equals or begins with."""
+    return next((f for f in sorted(features, key=len, reverse=True) if column == f or column.startswith(f"{f}_")), column)
+
+
+def save_detector(detector: Detector, path: str, **about: Any) -> None:
+    """Arrays as NPZ and all else as JSON, side by side; nothing in it is executable."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    state = {k: v for k, v in vars(detector).items() if not callable(v)}
+    arrays: dict[str, np.ndarray] = {}
+
+    def plain(name: str, value: Any) -> Any:
+        if isinstance(value, np.ndarray):
+            arrays[name] = value
+            return {"array": name}
+        if isinstance(value, dict):
+            return {k: plain(f"{name}.{k}", v) for k, v in value.items()}
+        if isinstance(value, list | tuple):
+            return [plain(f"{name}.{k}", v) for k, v in enumerate(value)]
+        return value.item() if isinstance(value, np.generic) else value
+
+    body = {"detector": type(detector).__name__, "state": {k: plain(k, v) for k, v in state.items()}} | about
+    np.savez(target.with_suffix(".npz"), **arrays)
+    target.with_suffix(".json").write_text(json.dumps(body, indent=1))
+
+
+def load_detector(path: str) -> Detector:
+    target = Path(path)
+    body, arrays = json.loads(target.with_suffix(".json").read_text()), np.load(target.with_suffix(".npz"))
+
+    def back(value: Any) -> Any:
+        if isinstance(value, dict):
+            return arrays[value["array"]] if set(value) == {"array"} else {k: back(v) for k, v in value.items()}
+        return [back(v) for v in value] if isinstance(value, list) else value
+
+    detector = {c.__name__: c for c in (IsolationForest, LocalOutlierFactor, OneClassSvm, PcaReconstruction, LstmAutoencoder)}[body["detector"]]()
+    vars(detector).update(back(body["state"]))
+    return detector

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,36 +29,102 @@ def with_row_id(df: DataFrame, *order: str, parts: int = 0) -> DataFrame:
     return dealt.join(F.broadcast(before), "part__").withColumn("row_id", F.col("first__") + F.col("place__")).drop("mono__", "part__", "place__", "first__")
 
 
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], keys: tuple[str, ...] = (), parts: int = 0) -> DataFrame:
+    """Adds, for each output name, the sum of a column over the earlier rows of the key.
+
+    Rows are dealt by ranges of keys and order, so neither a whole table nor the rows of a
+    hot key are ordered in one task. Sums inside a range are windows; what a key has in
+    earlier ranges is added from a table that only has the keys on a border, one for each
+    range at most, and is broadcast. The order has to be total for a fixed result.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order]
+    dealt = df.withColumns({f"{c}__": v for c, v in sums.items()}).repartitionByRange(n, *by) if by else df
+    dealt = checkpointed(dealt.withColumn("part__", F.spark_partition_id()))
+    totals = dealt.groupBy("part__", *keys).agg(*[F.sum(f"{c}__").alias(f"{c}__t") for c in sums])
+    # Only the first key of a range can have rows in earlier ranges; it has its smallest values there.
+    firsts = totals.withColumn("k__", F.struct(F.lit(0), *keys)).groupBy("part__").agg(F.min("k__").alias("least__"))
+    edge = totals.withColumn("k__", F.struct(F.lit(0), *keys)).join(F.broadcast(firsts), "part__")
+    lasts = totals.withColumn("k__", F.struct(F.lit(0), *keys)).groupBy("part__").agg(F.max("k__").alias("most__"))
+    border = edge.join(F.broadcast(lasts), "part__").where("k__ = least__ or k__ = most__")
+    earlier = Window.partitionBy("k__").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    before = border.select("part__", F.col("k__"), *[F.sum(f"{c}__t").over(earlier).alias(f"{c}__b") for c in sums]).where(F.col(f"{next(iter(sums))}__b").isNotNull())
+    within = Window.partitionBy("part__", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.withColumn("k__", F.struct(F.lit(0), *keys)).join(F.broadcast(before), ["part__", "k__"], "left")
+    zero = {c: F.lit(0) for c in sums}
+    return met.select(*df.columns, *[(F.coalesce(F.sum(f"{c}__").over(within), zero[c]) + F.coalesce(f"{c}__b", zero[c])).alias(c) for c in sums])
+
+
+def quantiles(counts: DataFrame, keys: tuple[str, ...], value: str, n: str, shares: list[float]) -> DataFrame:
+    """Exact quantiles by key, with linear interpolation, from the number `n` of rows of each distinct value.
+
+    Returns the keys and q, an array. Places come from `running_sums`, so neither a sort nor
+    a buffer of all values is in one task.
+    """
+    k = [f"k{i}__" for i in range(len(keys))]
+    some = counts.where(F.col(value).isNotNull()).select(*[F.col(c).alias(x) for c, x in zip(keys, k, strict=True)], F.col(value).cast("double").alias("v__"), F.col(n).alias("n__"))
+    total = some.groupBy(*[F.col(x).alias(f"t{x}") for x in k]).agg(F.sum("n__").alias("all__"))
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"t{x}")) for x in k], F.lit(True))
+    placed = running_sums(some, ["v__"], {"below__": F.col("n__")}, tuple(k)).join(F.broadcast(total), same)
+    out = []
+    for i, share in enumerate(shares):
+        at = (F.col("all__") - 1) * F.lit(float(share))
+        for name, place in (("l", F.floor(at)), ("h", F.ceil(at))):
+            out.append(F.max(F.when((F.col("below__") <= place) & (place < F.col("below__") + F.col("n__")), F.col("v__"))).alias(f"{name}{i}__"))
+        out.append(F.max(at - F.floor(at)).alias(f"f{i}__"))
+    made = placed.groupBy(*k).agg(*out)
+    value_of = [F.col(f"l{i}__") + (F.col(f"h{i}__") - F.col(f"l{i}__")) * F.col(f"f{i}__") for i in range(len(shares))]
+    return made.select(*[F.col(x).alias(c) for c, x in zip(keys, k, strict=True)], F.array(*value_of).alias("q"))
+
+
+def random_split(df: DataFrame, row_id: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """A seeded share of the rows, wherever they stand, is the training part."""
+    return df.withColumn("is_train", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def temporal_split(df: DataFrame, row_id: str, n: int, share: float = 0.8) -> DataFrame:
     """The first `share` of the rows in stored order is the training part."""
     boundary = max(1, min(n - 1, int(n * share)))
     return df.withColumn("is_train", F.col(row_id) < boundary)
 
 
+def _filled_counts(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts of the distinct values of each column with nulls as its median, and the medians; one pass over the rows."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "v")
+    counts = checkpointed(long.groupBy("name", "v").agg(F.count("*").alias("n")))
+    medians = checkpointed(quantiles(counts, ("name",), "v", "n", [0.5]).select(F.col("name").alias("m__"), F.col("q")[0].alias("median")))
+    filled = counts.join(F.broadcast(medians), F.col("name") == F.col("m__"), "left").select("name", F.coalesce("v", "median").alias("v"), "n")
+    return checkpointed(filled.where("v is not null").groupBy("name", "v").agg(F.sum("n").alias("n"))), medians
+
+
+def _spread(filled: DataFrame) -> DataFrame:
+    """Mean and population deviation of each column from its counts."""
+    means = filled.groupBy("name").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")).withColumnRenamed("name", "a__")
+    return filled.join(F.broadcast(means), F.col("name") == F.col("a__")).groupBy("name").agg(F.first("mean").alias("mean"), F.sqrt(F.sum((F.col("v") - F.col("mean")) ** 2 * F.col("n")) / F.sum("n")).alias("deviation"))
+
+
+def _one_row(table: DataFrame, columns: list[str], named: dict[str, Column]) -> DataFrame:
+    """A table by column name as a single row, with a column for each of `named` and each name."""
+    return table.agg(*[F.max(F.when(F.col("name") == c, value)).alias(f"{k}_{c}") for k, value in named.items() for c in columns])
+
+
 def fit_robust(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: median and scale of each column after imputation by the median.
 
     The scale is the quartile distance, the population deviation where that is nil, else 1.
     """
-    medians = df.agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in columns])
-    full = df.join(F.broadcast(medians))
-    value = {c: F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}")) for c in columns}
-    stats = full.agg(*[F.percentile(v, [0.25, 0.5, 0.75]).alias(f"q_{c}") for c, v in value.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in value.items()])
-
-    def scale(c: str) -> Column:
-        width = F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0]
-        return F.when(width > TINY, width).when(F.col(f"s_{c}") > TINY, F.col(f"s_{c}")).otherwise(1.0)
-
-    return stats.select(*[F.col(f"q_{c}")[1].alias(f"m_{c}") for c in columns], *[scale(c).alias(f"w_{c}") for c in columns])
+    filled, _ = _filled_counts(df, columns)
+    q = quantiles(filled, ("name",), "v", "n", [0.25, 0.5, 0.75]).withColumnRenamed("name", "q__")
+    met = _spread(filled).join(F.broadcast(q), F.col("name") == F.col("q__"))
+    width = F.col("q")[2] - F.col("q")[0]
+    return _one_row(met, columns, {"m": F.col("q")[1], "w": F.when(width > TINY, width).when(F.col("deviation") > TINY, F.col("deviation")).otherwise(1.0)})
 
 
 def fit_standard(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: median for imputation, then mean and population deviation."""
-    medians = df.agg(*[F.percentile(c, 0.5).alias(f"i_{c}") for c in columns])
-    full = df.join(F.broadcast(medians))
-    value = {c: F.coalesce(F.col(c).cast("double"), F.col(f"i_{c}")) for c in columns}
-    stats = full.agg(*[F.avg(v).alias(f"m_{c}") for c, v in value.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in value.items()])
-    return stats.join(medians).select(*[F.col(f"i_{c}") for c in columns], *[F.col(f"m_{c}") for c in columns], *[F.when(F.col(f"s_{c}") > TINY, F.col(f"s_{c}")).otherwise(1.0).alias(f"w_{c}") for c in columns])
+    filled, medians = _filled_counts(df, columns)
+    met = _spread(filled).join(F.broadcast(medians), F.col("name") == F.col("m__"))
+    return _one_row(met, columns, {"i": F.col("median"), "m": F.col("mean"), "w": F.when(F.col("deviation") > TINY, F.col("deviation")).otherwise(1.0)})
 
 
 def scale(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
@@ -79,8 +147,10 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 
 
 def one_hot(df: DataFrame, fit: DataFrame, column: str, most: int = 51) -> DataFrame:
-    """A column per value seen in `fit` (`most` at most, as capped before); nulls as the mode, unknown values all 0."""
-    values = [r[0] for r in fit.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most).collect()]
+    """A column per value seen in `fit` (more than `most` are an error); nulls as the mode, unknown values all 0."""
+    values = [r[0] for r in fit.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has over {most} values; cap its categories first")
     filled = df.join(F.broadcast(mode(fit, column)), F.lit(True), "left").withColumn("v__", F.coalesce(F.col(column), F.col("mode")))
     return filled.select(*df.columns, *[F.when(F.col("v__") == v, 1.0).otherwise(0.0).alias(f"{column}_{v}") for v in values])
 

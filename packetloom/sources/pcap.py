@@ -56,7 +56,8 @@ def _next_generation(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             if port < len(links):
                 yield (high << 32 | low) * 1_000_000 // links[port][1], links[port][0], body[20 : 20 + held]
         elif kind == 3 and links:
-            yield 0, links[0][0], body[4:]
+            held = struct.unpack_from(end + "I", body)[0]
+            yield 0, links[0][0], body[4 : 4 + held]
         at += size
 
 
@@ -112,26 +113,33 @@ def addresses(link: int, frame: bytes) -> tuple | None:
     return None
 
 
-def read_captures(spark: SparkSession, path: str | list[str], max_packets: int | None = None) -> DataFrame:
+def read_captures(spark: SparkSession, path: str | list[str], max_packets: int | None = None, keep_all: bool = False) -> DataFrame:
     """One row per TCP or UDP packet over IP; packet_index counts all packets of a file from 1.
 
     Files are read by the engine's own binary source, from any store it knows, one task per
     file or more; a file of over 2 GB has to be split before. `max_packets` bounds the raw
-    packets of a file, before any filter.
+    packets of a file, before any filter. With `keep_all` other packets have a row as well,
+    without addresses. A capture has the name of its file, behind that of its folder if
+    files of several folders have the same name.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pcap,pcapng,PCAP,PCAPNG}").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][cC][aA][pP]*").load(path).where(F.lower("path").rlike(r"\.pcap(ng)?$")).select("path", "content")
+    names = files.select(F.substring_index("path", "/", -1).alias("name")).groupBy("name").count().where("count > 1")
+    twice = {r["name"] for r in names.collect()}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 rows: list[tuple] = []
                 capture = name.rsplit("/", 1)[-1]
+                capture = "/".join(name.rsplit("/", 2)[-2:]) if capture in twice else capture
                 for index, (micros, link, frame) in enumerate(frames(bytes(content)), 1):
                     if max_packets and index > max_packets:
                         break
                     if found := addresses(link, frame):
                         transport, src, sport, dst, dport, flags, payload = found
                         rows.append((capture, index, EPOCH + timedelta(microseconds=micros), transport, src, sport, dst, dport, flags, len(frame), payload))
+                    elif keep_all:
+                        rows.append((capture, index, EPOCH + timedelta(microseconds=micros), None, None, None, None, None, None, len(frame), None))
                     if len(rows) >= 10_000:
                         yield pd.DataFrame(rows, columns=COLUMNS)
                         rows = []

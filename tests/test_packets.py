@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import protocols
 from packetloom.functions.text import entropy
-from packetloom.operators import mapping, prepare, rollups
+from packetloom.functions.catalog import FEATURES
+from packetloom.operators import mapping, prepare, reports, rollups
 from packetloom.operators.detectors import IsolationForest, LocalOutlierFactor, LstmAutoencoder, OneClassSvm
-from packetloom.plans.features import extract, scopes
+from packetloom.plans.features import BASE, decode, extract, run_inventory, scopes, tallies
 from packetloom.sources.pcap import frames
-from packetloom.sources.tables import capture_files, deep_merge, read_table, write_table
+from packetloom.sources.tables import bounded_table, capture_audit, capture_file, capture_files, deep_merge, discover_runs, feature_sources, inventory, load_config, read_table, run_history, write_table
+from packetloom.streaming.sessions import flow_sessions
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -95,9 +97,113 @@ def test_label_by_address_and_time(spark, shift, status, confidence):
     flows = spark.createDataFrame([("f", "a", "b", "modbus", T0, T0, 1)], "flow_id string, src_ip string, dst_ip string, protocol string, flow_start timestamp, flow_end timestamp, packet_count long")
     labels = spark.createDataFrame([(1, "attack", T0 + timedelta(seconds=shift), None, "b", "a")], "csv_row int, label string, label_timestamp timestamp, label_end_timestamp timestamp, src string, dst string")
     got = mapping.map_labels(flows, labels, {"src": "src_ip", "dst": "dst_ip"}, {"src": "dst_ip", "dst": "src_ip"}).first()
+    blocks = mapping.map_labels(flows, labels, {"src": "src_ip", "dst": "dst_ip"}, {"src": "dst_ip", "dst": "src_ip"}, few=0).first()
+    assert blocks == got
     assert (got.match_status, got.match_confidence) == (status, confidence) and got.label == ("attack" if shift == 0 else "unknown")
 
 
+def test_blocks_of_time_find_what_pairs_find(spark):
+    """Labels without addresses, intervals and neighbours across the borders of blocks, against all pairs."""
+    rng = np.random.default_rng(11)
+    at = lambda us: T0 + timedelta(microseconds=int(us))
+    flows = spark.createDataFrame([(f"f{k}", "a", 1, "b", 2, "http", at(t), at(t), 1) for k, t in enumerate(rng.integers(0, 10**8, 60))] + [("none", "a", 1, "b", 2, "http", None, None, 1)], "flow_id string, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, flow_start timestamp, flow_end timestamp, packet_count long")
+    labels = []
+    for k in range(200):
+        t, span = int(rng.integers(0, 10**8)), int(rng.integers(0, 4 * 10**6))
+        who = [(None, None, None, None), ("a", None, None, 2), ("b", 2, "a", 1), ("z", None, None, None)][k % 4]
+        labels.append((k, f"l{k}", at(t) if k % 7 else None, at(t + span) if k % 3 == 0 else None, *who))
+    table = spark.createDataFrame(labels, "csv_row long, label string, label_timestamp timestamp, label_end_timestamp timestamp, src_ip string, src_port int, dst_ip string, dst_port int")
+    for reverse in (None, mapping.REVERSE):
+        got = [sorted(map(str, mapping.map_labels(flows, table, reverse=reverse, tolerance=0.05, few=few).collect())) for few in (10**6, 0, 40)]
+        assert got[0] == got[1] == got[2]
+
+
+def test_tallies_inventory_and_runs(spark, tmp_path):
+    """Captures of two folders with the same name, an inventory with labels, and what a run leaves behind."""
+    raw, packets = tmp_path / "raw", [(k * 10**6, tcp("192.0.2.10", 50000 + k, "192.0.2.20", port, MODBUS)) for k, port in enumerate((502, 502, 9, 80))]
+    for folder in ("modbus", "http"):
+        (raw / folder).mkdir(parents=True)
+        (raw / folder / "c.PCAP").write_bytes(pcap([*packets, (5 * 10**6, b"no frame")]))
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "l.csv").write_text("state,startDate,endDate,sIPs,rIPs\nscan,1/1/1970 0:00,1/1/1970 1:00,[192.0.2.10],192.0.2.20\n")
+    (tmp_path / "labels" / "empty.csv").write_text("state,startDate\n")
+    config = {"capture": {"supported_protocols": ["http", "modbus"]}, "data": {"raw_pcap_dir": str(raw), "it_label_dir": "", "ot_label_dir": str(tmp_path / "labels"), "protocol_folders": [{"protocol": "modbus", "labels": ["l.csv", "empty.csv"]}, {"protocol": "http", "id": "web"}]}}
+    found = inventory(config)
+    assert [(d["id"], d["domain"], len(d["path"])) for d in found] == [("modbus", "ot", 1), ("web", "it", 1)]
+    got = {r.capture: (r.packets_read, r.supported, r.retained_rows, r.filtered_rows) for r in tallies(spark, [*found[0]["path"], *found[1]["path"]], "modbus").collect()}
+    assert got == {"modbus/c.PCAP": (5, 3, 2, 1), "http/c.PCAP": (5, 3, 2, 1)}
+    summary = run_inventory(spark, [*found, {"id": "gone", "path": str(tmp_path / "nowhere.pcap"), "domain": "it"}], str(tmp_path / "run"))
+    assert [d["status"] for d in summary["datasets"]] == ["extracted", "extracted", "extraction_failed"]
+    assert [(m["status"], m.get("match_statuses")) for m in summary["datasets"][0]["mappings"]] == [("complete", {"matched": 2}), ("failed", None)]
+    table = read_table(spark, summary["combined_features"])
+    assert table.columns[:15] == list(BASE) and len(set(table.columns) & {f.name for f in FEATURES} | set(BASE)) == 106 and table.count() == 3
+    assert discover_runs(str(tmp_path)) == [str(tmp_path / "run")] and set(feature_sources(str(tmp_path / "run"))) == {"http", "modbus"}
+    assert run_history(spark, str(tmp_path)).count() == 3 and capture_audit(spark, str(tmp_path / "run")).where("included").count() == 2
+    report = read_table(spark, str(tmp_path / "run/reports/modbus-feature-quality.parquet"))
+    assert report.count() == len([f for f in FEATURES if "modbus" in f.protocols]) and report.where("extraction_status = 'not_observed'").count() > 0
+    small, n = bounded_table(spark, summary["combined_features"], 2)
+    assert n == 3 and small.count() == 2
+
+
+def test_inventories_are_checked(tmp_path):
+    base = {"capture": {"supported_protocols": ["http"]}, "data": {"raw_pcap_dir": str(tmp_path), "it_label_dir": ""}}
+    bad = [{"protocol_folders": "x"}, {"protocol_folders": [1]}, {"protocol_folders": [{"protocol": "ftp"}]}, {"protocol_folders": [{"protocol": "http", "labels": "x"}]}, {"protocol_folders": [{"protocol": "http", "domain": "x"}]}, {"datasets": [{"id": "a"}]}, {}]
+    for data in bad:
+        with pytest.raises(ValueError):
+            inventory(deep_merge(base, {"data": data}))
+    (tmp_path / "A.pcapng").write_bytes(b"")
+    assert capture_file(str(tmp_path / "a.pcap")) == str(tmp_path / "A.pcapng") and capture_files(str(tmp_path)) == [str(tmp_path / "A.pcapng")]
+    with pytest.raises(FileNotFoundError, match="A.pcapng"):
+        capture_file(str(tmp_path / "b.pcap"))
+    (tmp_path / "c.json").write_text('{"a": {"b": 2}}')
+    assert load_config({"a": {"b": 1, "c": 3}}, str(tmp_path / "c.json")) == {"a": {"b": 2, "c": 3}}
+    (tmp_path / "d.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        load_config({}, str(tmp_path / "d.json"))
+
+
+def test_dns_beside_port_53_and_over_tcp(spark):
+    message = struct.pack(">HHHHHH", 1, 0x8180, 1, 0, 0, 0) + b"\x01a\x04test\x00\x00\x01\x00\x01"
+    rows = [("c", 1, T0, "UDP", "a", 5353, "b", 40000, 0, 60, bytearray(message)), ("c", 2, T0, "TCP", "a", 40000, "b", 53, 0, 60, bytearray(struct.pack(">H", len(message)) + message))]
+    df = spark.createDataFrame(rows, "capture string, packet_index long, timestamp timestamp, transport string, src_ip string, src_port int, dst_ip string, dst_port int, tcp_flags int, packet_length int, payload binary")
+    for option, size in (("dissected", 0), ("udp", len(message))):
+        got = decode(df, dns_payload=option).orderBy("packet_index").collect()
+        assert [(r.dns_qname, r.dns_response_size) for r in got] == [("a.test", size)] * 2 and (got[0].payload_size == size)
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = np.random.default_rng(12)
+    rows = [("hot" if k % 3 else None if k % 2 else f"k{k % 11}", int(v), k) for k, v in enumerate(rng.integers(0, 50, 400))]
+    df = spark.createDataFrame(rows, "key string, v int, i long").repartition(6)
+    got = {r.i: r.s for r in prepare.running_sums(df, ["v", "i"], {"s": F.col("v")}, ("key",), 9).collect()}
+    for key, v, i in rows:
+        assert got[i] == sum(x for k, x, j in rows if k == key and (x, j) < (v, i))
+    counts = df.groupBy("key", "v").agg(F.count("*").alias("n"))
+    for r in prepare.quantiles(counts, ("key",), "v", "n", [0, 0.25, 0.5, 0.95, 1]).collect():
+        assert np.allclose(r.q, np.quantile([x for k, x, _ in rows if k == r.key], [0, 0.25, 0.5, 0.95, 1]))
+
+
+def test_sessions_of_tables_and_streams(spark, tmp_path):
+    rows = [("f", T0 + timedelta(seconds=s), 10) for s in (0, 30, 200, 210)] + [("g", T0, 5)]
+    df = spark.createDataFrame(rows, "flow_id string, timestamp timestamp, packet_length int")
+    want = {("f", 2, 20), ("f", 2, 20), ("g", 1, 5)}
+    got = flow_sessions(df).collect()
+    assert {(r.flow_id, r.packets, r.bytes) for r in got} == want and len(got) == 3
+    df.write.parquet(str(tmp_path / "in"))
+    stream = flow_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    # Sessions that the watermark has passed are out; the last ones still wait for late packets.
+    closed = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.flow_id, r.packets) for r in closed} <= {("f", 2), ("g", 1)}
+
+
+def test_columns_to_show(spark):
+    df = spark.createDataFrame([], "label string, src_port int, packet_length double, http_method string, modbus_value int, row_id long")
+    assert reports.visible_columns(df.schema, ["modbus"]) == ["packet_length", "modbus_value"] and reports.visible_columns(df.schema, ["modbus", "http"]) == ["packet_length"]
+    assert reports.record_columns(df.schema, "http") == ["src_port", "label", "packet_length", "http_method"]
+
+
 def test_quality_statuses(spark):
     df = spark.createDataFrame([("modbus", str(k % 2), 60 + k, 3, None) for k in range(20)], "protocol string, flow_id string, packet_length int, code int, address int")
     got = {r["name"]: r.extraction_status for r in rollups.quality_report(df, ["packet_length", "code", "address"]).collect()}
@@ -118,19 +224,22 @@ def test_detectors_find_a_planted_outlier():
         assert len(s) == 301 and int(s.argmax()) == 300
 
 
-def test_autoencoder_gradients_and_scores():
+@pytest.mark.parametrize("layers", [1, 2])
+def test_autoencoder_gradients_and_scores(layers):
     x = np.random.default_rng(2).normal(size=(48, 3))
-    net = LstmAutoencoder(length=6, hidden=4, latent=3, epochs=3)
+    net = LstmAutoencoder(length=6, stride=6, hidden=4, latent=3, layers=layers, dropout=0.3, epochs=3)
     net._init(3)
-    w = net._windows(x)
-    _, g = net.gradients(w)
-    for name in ("We", "Wz", "Wd", "bo"):
+    w = net._windows(x, *net.starts(48))
+    draw = lambda: np.random.default_rng(3)  # noqa: E731  the same masks each time
+    _, g = net.gradients(w, draw())
+    assert set(g) == set(net.p)
+    for name in net.p:
         p = net.p[name]
         at = (0,) * p.ndim
         p[at] += 1e-5
-        up = net.gradients(w)[0]
+        up = net.gradients(w, draw())[0]
         p[at] -= 2e-5
-        assert abs((up - net.gradients(w)[0]) / 2e-5 - g[name][at]) < 1e-6
+        assert abs((up - net.gradients(w, draw())[0]) / 2e-5 - g[name][at]) < 1e-6
         p[at] += 1e-5
     assert len(net.fit(x).score(x)) == 48 and net.history[0]["epoch"] == 1
 
