@@ -39,8 +39,10 @@ def timeline(df: DataFrame, ts: str, means: list[str], length: str, flow: str, s
         low, high = df.agg(F.min(micros(ts)), F.max(micros(ts))).first()
         days = ((high or 0) - (low or 0)) / 86_400e6
         bucket = "1 day" if days > 120 else "1 hour" if days > 14 else "15 minutes"
-    start = F.window(ts, bucket)["start"]
-    made = df.groupBy(start.alias("bucket")).agg(F.count("*").alias("records"), *[F.avg(c).alias(f"mean_{c}") for c in means], F.percentile(length, 0.95).alias("p95_length"), F.count_distinct(flow).alias("flows"), F.count_distinct(src).alias("sources"))
+    at = df.withColumn("bucket", F.window(ts, bucket)["start"])
+    made = at.groupBy("bucket").agg(F.count("*").alias("records"), *[F.avg(c).alias(f"mean_{c}") for c in means], F.count_distinct(flow).alias("flows"), F.count_distinct(src).alias("sources"))
+    q = quantiles(at.groupBy("bucket", length).agg(F.count("*").alias("n__")), ("bucket",), length, "n__", [0.95]).select(F.col("bucket").alias("q__"), F.col("q")[0].alias("p95_length"))
+    made = made.join(q, F.col("bucket") == F.col("q__"), "left").drop("q__")
     calendar = made.agg(F.explode(F.sequence(F.min("bucket"), F.max("bucket"), F.expr(f"interval {bucket}"))).alias("bucket"))
     return calendar.join(made, "bucket", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("records", "flows", "sources")})
 

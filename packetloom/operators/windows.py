@@ -66,10 +66,11 @@ def source_behaviour(df: DataFrame, capture: str = "capture", src: str = "src_ip
     pairs = base.select(capture, src, dst).distinct()
     hosts = pairs.groupBy(capture, src).agg(F.count(dst).alias("source_destination_count"), entropy(F.array_join(F.array_sort(F.collect_set(dst)), "|")).alias("destination_entropy"))
     begun = base.groupBy(capture, src).agg(F.min(micros(ts)).alias("begun__"))
-    own = begun.join(hosts, [capture, src], "left").select(F.col(capture).alias("c__"), F.col(src).alias("s__"), "begun__", "source_destination_count", "destination_entropy")
+    hosts = hosts.withColumnsRenamed({capture: "hc__", src: "hs__"})
+    own = begun.join(hosts, F.col(capture).eqNullSafe(F.col("hc__")) & F.col(src).eqNullSafe(F.col("hs__")), "left").select(F.col(capture).alias("c__"), F.col(src).alias("s__"), "begun__", "source_destination_count", "destination_entropy")
     totals = base.groupBy(F.col(capture).alias("t__")).agg((F.count("*") / F.greatest((F.max(micros(ts)) - F.min(micros(ts))) / 1e6, F.lit(1.0))).alias("all__"))
     df = running_sums(df.withColumn("at__", micros(ts)), [flow, ts, index], {"n__": F.lit(1)}, (capture, src))
-    df = df.join(own, (F.col(capture) == F.col("c__")) & (F.col(src) == F.col("s__"))).join(F.broadcast(totals), F.col(capture) == F.col("t__")).drop("c__", "s__", "t__")
+    df = df.join(own, F.col(capture).eqNullSafe(F.col("c__")) & F.col(src).eqNullSafe(F.col("s__")), "left").join(totals, F.col(capture).eqNullSafe(F.col("t__")), "left").drop("c__", "s__", "t__")
     df = df.withColumn("source_packet_rate", (F.col("n__") + 1) / F.greatest((F.col("at__") - F.col("begun__")) / 1e6, F.lit(1.0)))
     return df.withColumns({"burstiness": F.col("source_packet_rate") / F.greatest("all__", F.lit(1e-6)), "behavior_window_seconds": F.lit(window_seconds)}).drop("at__", "n__", "begun__", "all__")
 

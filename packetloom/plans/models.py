@@ -194,6 +194,15 @@ def run_feature_experiments(df: DataFrame, order: tuple[str, ...], names: list[s
     return rows, failures
 
 
+def feature_evaluation(df: DataFrame, order: tuple[str, ...], names: list[str], profiles: dict[str, list[str]], strategy: str = "grouped", groups: tuple[str, ...] = ("all",), **options: Any) -> list[dict[str, Any]]:
+    """The optional last step of an inventory: the same detectors with all features and with each
+    profile, summed up by profile against the baseline; failures stay with their profile."""
+    rows, failures = run_feature_experiments(df, order, names, profiles, strategy=strategy, groups=groups, **options)
+    base = {(r["scope"], r["model"]): r["input_features"] for r in rows if r["feature_profile"] == "all_features"}
+    kept = [{k: v for k, v in r.items() if k not in ("scores", "importance", "manifest")} | {"feature_reduction_vs_all": 1 - r["input_features"] / base[r["scope"], r["model"]] if (r["scope"], r["model"]) in base else None} for r in rows]
+    return kept + failures
+
+
 def sweep_grid(hidden: list[int], lengths: list[int], most: int = 8) -> list[dict[str, int]]:
     """Combinations of hidden size and window length, both 2 or more, in order without repeats."""
     pairs = list(product(dict.fromkeys(hidden), dict.fromkeys(lengths)))
