@@ -8,15 +8,20 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from math import ceil
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters that part words, as every contract of this subpackage has them.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]+"
+#: A block of a Bloom filter has eight words of 32 bits; each key sets one bit in each word.
+WORDS = 8
 #: Keys that more than one row in HOT_SHARE bears are at most HOT_SHARE; their entries are broadcast.
 HOT_SHARE, HOT_ROWS = 2000, 100
 
@@ -51,10 +56,23 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Hands rows to Python workers in batches of `size`, so that two tasks' batches stay small beside an executor's heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/packetloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return path, spark.read.schema(df.schema).parquet(path)
 
 
@@ -126,6 +144,36 @@ def join_counted(rows: DataFrame, entries: DataFrame, key: str, n: str, total: i
     return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col("hot__")[c], F.col("cold__")[c]).alias(c) for c in columns])
 
 
+def bloom_bits(hashed: Column) -> list[Column]:
+    """The bit of each of the eight words of a block: eight fields of five bits of a second hash."""
+    spread = F.xxhash64(F.lit(11), hashed)
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(spread, 5 * k).bitwiseAND(F.lit(31)).cast("int")) for k in range(WORDS)]
+
+
+def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
+    """The filled blocks of a blocked Bloom filter: block number and its eight words of 32 bits."""
+    hashed = listed.select(F.xxhash64(key).alias("h"))
+    own = hashed.select(F.pmod("h", F.lit(blocks)).alias("block"), *[b.alias(f"w{k}") for k, b in enumerate(bloom_bits(F.col("h")))])
+    return own.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)])
+
+
+def sifted(rows: DataFrame, keys: DataFrame, key: str, n: int, most_blocks: int = 1 << 16) -> DataFrame:
+    """`rows` without most of those whose key is none of the `n` keys, ahead of an exact join.
+
+    A Bloom filter of eight bits a key, which is broadcast if it has `most_blocks` (4.7 MB)
+    at most; a larger one would cost more than it spares, so all rows go on.
+    """
+    blocks = max(1, ceil(n * 8 / (32 * WORDS)))
+    if blocks > most_blocks:
+        return rows
+    filled = bloom_blocks(keys, key, blocks).withColumnRenamed("block", "block__")
+    asked = rows.withColumn("h__", F.xxhash64(key))
+    all_set = F.lit(True)
+    for k, bit in enumerate(bloom_bits(F.col("h__"))):
+        all_set = all_set & (F.col(f"w{k}").bitwiseAND(bit) == bit)
+    return asked.join(F.broadcast(filled), F.pmod("h__", F.lit(blocks)) == F.col("block__")).where(all_set).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of a link table: one row (node, component) per linked node.
 
@@ -155,21 +203,22 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
             before = now
 
 
-def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, most: int = 4096, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def exact_links(values: np.ndarray, sizes: np.ndarray, side: np.ndarray, similarity: float, most: int = 4096, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs with the Jaccard similarity, enough to span all of its components.
 
-    sets: distinct numbers of each entry, none empty. With two sides only pairs across are
-    checked. Every pair is, but for those that earlier links (or equal labels) connect already.
+    values: the distinct numbers of each entry, one after another; sizes: how many, none 0.
+    With two sides only pairs across are checked. Every pair is, but for those that earlier
+    links (or equal labels) connect already.
     """
-    sizes = np.array([len(x) for x in sets], np.int64)
-    if len(sets) == 2:
-        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+    sizes = sizes.astype(np.int64)
+    if len(sizes) == 2:
+        shared = len(np.intersect1d(values[: sizes[0]], values[sizes[0] :], assume_unique=True))
         ok = (side[1] != side[0] or not side.any()) and (label is None or label[0] != label[1]) and shared >= similarity * (sizes.sum() - shared)
         return (np.array([0]), np.array([1])) if ok else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, label, flag = np.cumsum(sizes) - sizes, np.arange(len(sets)) if label is None else label.copy(), np.zeros(len(known), bool)
-    places, sided, found = np.arange(len(sets)), bool(side.any()), []
-    for i in range(len(sets)):
+    known, codes = np.unique(values, return_inverse=True)
+    places, sided, found = np.arange(len(sizes)), bool(side.any()), []
+    starts, label, flag = np.cumsum(sizes) - sizes, places.copy() if label is None else label.copy(), np.zeros(len(known), bool)
+    for i in range(len(sizes)):
         fits = np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])
         open_ = np.flatnonzero(fits & (label != label[i]) & (side > side[i] if sided else places > i))
         if not open_.size:
@@ -193,18 +242,26 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, mos
 def similar_links(entries: DataFrame, keys: list[str], similarity: float, most: int = 4096) -> DataFrame:
     """Links (a, b) of ids by `exact_links` within each group of `keys`, which has to be bounded.
 
-    entries: the keys, id, side, label (equal ones are connected already) and s (the set).
+    entries: the keys, id, side, label (equal ones are connected already) and s (the set). The
+    sets stay in the flat arrays that they arrive in.
     """
     names = ("id", "side", "label", "s")
     grouped = entries.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("rows")).where(F.size("rows") > 1).select(*[F.col(f"rows.{n}").alias(n) for n in names])
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, side, label, sets = (batch.column(n).flatten() for n in names)
+            ids, side, label = ids.to_numpy(), side.to_numpy(), label.to_numpy()
+            sizes, values = pc.list_value_length(sets).to_numpy(), sets.flatten().to_numpy()
+            ends, at, deep = np.cumsum(pc.list_value_length(batch.column("id")).to_numpy()), 0, 0
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for ids, side, label, sets in zip(*(batch[n] for n in names), strict=True):
-                i, j = exact_links(list(sets), np.asarray(side), similarity, most, np.unique(label, return_inverse=True)[1])
-                a.append(np.asarray(ids)[i])
-                b.append(np.asarray(ids)[j])
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return grouped.mapInPandas(check, "a long, b long")
+            for end in ends.tolist():
+                own = sizes[at:end]
+                width = int(own.sum())
+                i, j = exact_links(values[deep : deep + width], own, side[at:end], similarity, most, np.unique(label[at:end], return_inverse=True)[1])
+                a.append(ids[at:end][i])
+                b.append(ids[at:end][j])
+                at, deep = end, deep + width
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return grouped.mapInArrow(check, "a long, b long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import Scratch, components, join_counted, similar_links, stored, without
+from packetloom.llm.common import Scratch, components, join_counted, sifted, similar_links, stored, without
 
 #: Words of a shingle; bands and rows of a band: at a Jaccard similarity of 0.8 a pair
-#: collides with a probability of 1 - (1 - 0.8 ** 2) ** 5 = 0.994, at 0.9 of 0.9998.
-WIDTH, BANDS, ROWS = 5, 5, 2
+#: collides with a probability of 1 - (1 - 0.8 ** 2) ** 4 = 0.983, at 0.9 of 0.9987.
+WIDTH, BANDS, ROWS = 5, 4, 2
 #: Words of a window paragraph, and how many successive places for one hold the start of one
 #: at least: a run of WINDOW + REACH - 1 = 50 words has a window inside wherever it stands.
 WINDOW, REACH = 15, 36
@@ -27,8 +28,9 @@ LEAST_SHINGLES = 6
 #: Entries of a block of a large bucket; each pair of blocks meets in one task.
 BLOCK = 1024
 #: Words that are handled at once (a longer text alone), and units that leave a worker at once.
-GROUP_WORDS, SLICE = 1 << 18, 1 << 16
-UNITS = "doc_id long, text_key long, first_word int, n_words int, content long, " + ", ".join(f"b{k} long" for k in range(BANDS)) + ", around binary"
+GROUP_WORDS, SLICE = 1 << 16, 1 << 15
+UNITS = "doc_id long, text_key long, first_word int, n_words int, content long, " + ", ".join(f"b{k} long" for k in range(BANDS))
+MEMBERS = "doc_id long, text_key long, first_word int, n_words int, content long, around binary, shingles array<long>"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -44,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word, 9)
         if len(word) <= 64:
@@ -120,16 +122,24 @@ def _bands(shingle: np.ndarray, least, kind: int) -> np.ndarray:
     return np.stack(out)
 
 
-def group_units(ids: np.ndarray, keys: np.ndarray, texts: list[str], known: WordHashes, least_words: int) -> pa.RecordBatch:
-    """The paragraphs of some texts: their lines of `least_words` or more, and windows."""
+def _words_of(texts: list[str], known: WordHashes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts by line; their hashes one text after another; words of each text, where
+    each begins, and which places are words.
+
+    Between texts there is a gap of one place, so that no run of words goes from one to the next.
+    """
     lines = [[line.split() for line in t.encode().lower().split(b"\n")] for t in texts]
     sizes = np.array([sum(map(len, x)) for x in lines], np.int64)
-    # Between texts there is a gap of one place, so that no run of words goes from one to the next.
-    h = np.zeros(int(sizes.sum()) + len(texts), np.uint64)
-    begin = np.cumsum(sizes + 1) - sizes - 1
+    h, begin = np.zeros(int(sizes.sum()) + len(texts), np.uint64), np.cumsum(sizes + 1) - sizes - 1
     real = np.ones(len(h), bool)
     real[begin + sizes] = False
     h[real] = hashes([w for x in lines for line in x for w in line], known)
+    return lines, h, sizes, begin, real
+
+
+def group_units(ids: np.ndarray, keys: np.ndarray, texts: list[str], known: WordHashes, least_words: int) -> pa.RecordBatch:
+    """The paragraphs of some texts: their lines of `least_words` or more, and windows."""
+    lines, h, sizes, begin, _ = _words_of(texts, known)
     text_of = np.repeat(np.arange(len(texts)), sizes + 1)
     place = np.arange(len(h)) - begin[text_of]
     room = sizes[text_of] - place
@@ -143,11 +153,6 @@ def group_units(ids: np.ndarray, keys: np.ndarray, texts: list[str], known: Word
     words = h[at[:, None] + np.arange(WINDOW)]
     content = _mix((_mix(words + np.arange(WINDOW, dtype=np.uint64) * _MIX)).sum(1, dtype=np.uint64) + np.uint64(WINDOW))
     bands = _bands(own, lambda x: x.min(1), 0)
-    code = np.where(real, 1 + h % np.uint64(255), 0).astype(np.uint8)
-    code = np.concatenate([np.zeros(REACH, np.uint8), code, np.zeros(REACH, np.uint8)])
-    before, after = code[at[:, None] + REACH - 1 - np.arange(REACH - 1)], code[at[:, None] + REACH + WINDOW + np.arange(REACH - 1)]
-    # Beyond the gap is another text: all codes from the first empty one on are empty.
-    around = np.concatenate([x * np.logical_and.accumulate(x > 0, 1) for x in (before, after)], 1)
 
     line_sizes = np.array([len(line) for x in lines for line in x], np.int64)
     line_text = np.repeat(np.arange(len(texts)), [len(x) for x in lines])
@@ -174,17 +179,13 @@ def group_units(ids: np.ndarray, keys: np.ndarray, texts: list[str], known: Word
 
     where = np.concatenate([at, line_first])
     text = text_of[where]
-    n, width = len(where), 2 * (REACH - 1)
-    offsets = np.minimum(np.arange(n + 1), len(at)) * width
-    binary = pa.Array.from_buffers(pa.binary(), n, [None if not len(line_first) else pa.array(np.arange(n) < len(at)).buffers()[1], pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(around.tobytes())])
     columns = [pa.array(ids[text]), pa.array(keys[text]), pa.array(place[where].astype(np.int32)), pa.array(np.concatenate([np.full(len(at), WINDOW), line_sizes]).astype(np.int32)), pa.array(np.concatenate([content, line_content]).view(np.int64))]
     columns += [pa.array(np.concatenate([a, b]).view(np.int64)) for a, b in zip(bands, line_bands, strict=True)]
-    return pa.RecordBatch.from_arrays([*columns, binary], names=["doc_id", "text_key", "first_word", "n_words", "content", *(f"b{k}" for k in range(BANDS)), "around"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "first_word", "n_words", "content", *(f"b{k}" for k in range(BANDS))])
 
 
 def paragraph_units(docs: DataFrame, least_words: int) -> DataFrame:
-    """One row per paragraph. `around` has a byte for each of the words before and behind a
-    window, the nearest first (0: the text ends); it is null for lines."""
+    """One row per paragraph; a window has WINDOW words, a line more."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -202,22 +203,55 @@ def paragraph_units(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text").mapInArrow(make, UNITS)
 
 
-def _needed_shingles(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """content and shingles of the paragraphs in `needed` (content, doc_id, text_key, first_word, n_words)."""
-    wanted = needed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("content", "first_word", "n_words")).alias("some"))
+def group_members(texts: list[str], counts: np.ndarray, first: np.ndarray, sizes: np.ndarray, wants: np.ndarray, known: WordHashes) -> tuple[pa.Array, pa.Array]:
+    """Of paragraphs, `counts` for each text: the words around windows, and shingles where wanted.
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A byte stands for each of the words before and behind, the nearest first (0: the text
+    ends); lines have none.
+    """
+    _, h, _, begin, real = _words_of(texts, known)
+    at = begin[np.repeat(np.arange(len(texts)), counts)] + first
+    code = np.concatenate([np.zeros(REACH, np.uint8), np.where(real, 1 + h % np.uint64(255), 0).astype(np.uint8), np.zeros(REACH, np.uint8)])
+    window = sizes == WINDOW
+    w = at[window][:, None] + REACH
+    # Beyond the gap is another text: all codes from the first empty one on are empty.
+    around = np.concatenate([x * np.logical_and.accumulate(x > 0, 1) for x in (code[w - 1 - np.arange(REACH - 1)], code[w + WINDOW + np.arange(REACH - 1)])], 1)
+    offsets = np.cumsum([0, *window]) * 2 * (REACH - 1)
+    packed = pa.Array.from_buffers(pa.binary(), len(at), [pa.array(window).buffers()[1], pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(around.tobytes())])
+    g = _runs(h, WIDTH)
+    own = [np.unique(g[a : a + n - WIDTH + 1]) if y else None for a, n, y in zip(at.tolist(), sizes.tolist(), wants.tolist(), strict=True)]
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in own)])
+    values = np.concatenate([np.zeros(0, np.uint64), *(x for x in own if x is not None)]).view(np.int64)
+    lists = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(at), [pa.array(wants).buffers()[1], pa.py_buffer(ends.astype(np.int32))], children=[pa.array(values)])
+    return packed, lists
+
+
+def paragraph_members(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text_key, first_word, n_words, content, wants) with the words around windows
+    and, where `wants` says so, the shingles, all read from the texts in one pass."""
+    names = ("first_word", "n_words", "content", "wants")
+    wanted = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*names)).alias("some"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = []
-            for text, contents, firsts, sizes in batch.itertuples(index=False):
-                g = _runs(hashes(text_words(text), known), WIDTH).view(np.int64)
-                found += [(c, np.unique(g[a : a + n - WIDTH + 1])) for c, a, n in zip(contents.tolist(), firsts.tolist(), sizes.tolist(), strict=True)]
-            for at in range(0, len(found), SLICE):
-                yield pd.DataFrame(found[at : at + SLICE], columns=["content", "shingles"])
-
-    first = docs.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "text_key"])
-    return first.select("text", "some.content", "some.first_word", "some.n_words").mapInPandas(of, "content long, shingles array<long>").dropDuplicates(["content"])
+            lo, size, lengths = 0, 0, pc.binary_length(batch.column(2)).to_pylist()
+            for k, n in enumerate(lengths):
+                size += n
+                if size < 6 * GROUP_WORDS and k + 1 < batch.num_rows:
+                    continue
+                part = batch.slice(lo, k + 1 - lo)
+                lo, size = k + 1, 0
+                first, sizes, content, wants = (part.column(3 + i).flatten() for i in range(4))
+                counts = pc.list_value_length(part.column(3)).to_numpy()
+                around, lists = group_members(part.column(2).to_pylist(), counts, first.to_numpy(), sizes.to_numpy(), wants.to_numpy(zero_copy_only=False), known)
+                row = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                made = pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), first, sizes, content, around, lists], names=["doc_id", "text_key", "first_word", "n_words", "content", "around", "shingles"])
+                for at in range(0, made.num_rows, SLICE):
+                    yield made.slice(at, SLICE)
+
+    there = docs.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "text_key"])
+    return there.select("doc_id", "text_key", "text", *[f"some.{n}" for n in names]).mapInArrow(read, MEMBERS)
 
 
 def _islands(spans: DataFrame) -> DataFrame:
@@ -252,24 +286,35 @@ def _block_pairs(met: DataFrame) -> DataFrame:
     return dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "content", "label")
 
 
-def paragraph_links(docs: DataFrame, entries: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Links (a, b) of contents that span the components of colliding, similar paragraphs.
+def band_buckets(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """band, content and n, how many contents share the band; and the number of rows.
 
     entries: content, keep (doc_id, text_key, first_word, n_words) and the bands. A bucket is
     a band that several contents share, unless these are windows of one text that overlap.
-    All pairs of its entries are checked exactly, but for those that links connect already. A
-    bucket of over BLOCK entries is first compared with its first entry; what that leaves
-    apart is dealt to pairs of blocks.
     """
     # Places of one text differ by the words between them, those of different texts by far more.
     at = F.shiftleft(F.xxhash64("keep.doc_id", "keep.text_key"), 24).bitwiseOR(F.col("keep.first_word").bitwiseAND(F.lit((1 << 24) - 1)).cast("long"))
-    banded = entries.select("content", at.alias("at"), F.explode(F.array(*[F.col(f"b{k}") for k in range(BANDS)])).alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).where(f"n > 1 and coalesce(try_subtract(high, low), {WINDOW}) >= {WINDOW}")
-    buckets = scratch.keep(buckets.select("band", "n", F.col("n").alias("size")), "buckets")
-    total = buckets.agg(F.sum("n")).first()[0] or 0
-    met = scratch.keep(join_counted(banded.drop("at"), buckets, "band", "n", total).where("size is not null").select("band", "content", F.col("size").alias("n")), "met")
-    named = entries.join(met.select("content").distinct(), "content", "left_semi").select("content", "keep.*")
-    sets = scratch.keep(_needed_shingles(docs, named), "shingles")
+    found, total = [], 0
+    # Band by band, so that the files of one shuffle are gone before the next.
+    for k in range(BANDS):
+        banded = entries.select("content", at.alias("at"), F.col(f"b{k}").alias("band"))
+        buckets = banded.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).where(f"n > 1 and coalesce(try_subtract(high, low), {WINDOW}) >= {WINDOW}")
+        buckets = scratch.keep(buckets.select("band", "n", F.col("n").alias("size")), "buckets")
+        bands, rows = buckets.agg(F.count("*"), F.sum("n")).first()
+        likely = sifted(banded.drop("at"), buckets, "band", bands)
+        found.append(scratch.keep(join_counted(likely, buckets, "band", "n", rows or 0).where("size is not null").select("band", "content", F.col("size").alias("n")), "met"))
+        total += rows or 0
+    return reduce(DataFrame.unionAll, found), total
+
+
+def paragraph_links(met: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, total: int) -> DataFrame:
+    """Links (a, b) of contents that span the components of colliding, similar paragraphs.
+
+    met: the buckets as `band_buckets` has them; sets: the shingles of each content. All pairs
+    of a bucket's entries are checked exactly, but for those that links connect already. A
+    bucket of over BLOCK entries is first compared with its first entry; what that leaves
+    apart is dealt to pairs of blocks.
+    """
     label = F.col("content")
     links = None
     if met.where(F.col("n") > BLOCK).head(1):
@@ -318,20 +363,29 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     with Scratch(docs.sparkSession) as scratch:
         units = scratch.keep(paragraph_units(docs, least_words), "paragraphs")
         entries = scratch.keep(units.groupBy("content").agg(F.count("*").alias("n"), F.min(place).alias("keep"), *[F.first(b).alias(b) for b in bands]), "entries")
-        links = scratch.keep(paragraph_links(docs, entries, scratch, similarity), "links")
+        met, collisions = band_buckets(entries, scratch)
+        # What several places hold, or what collides in a band: all that can be in a class of two or more.
+        likely = entries.drop(*bands).join(met.select("content").distinct().withColumn("collides", F.lit(True)), "content", "left").where("n > 1 or collides")
+        likely = scratch.keep(likely.withColumn("collides", F.coalesce("collides", F.lit(False))), "likely")
+        scratch.drop(entries)
+        number, total = likely.agg(F.count("*"), F.sum("n")).first()
+        rows = join_counted(sifted(units.drop(*bands), likely, "content", number), likely, "content", "n", total or 0).where("keep is not null")
+        rows = scratch.keep(rows.select("doc_id", "text_key", "first_word", "n_words", "content", (F.col("collides") & (place == F.col("keep"))).alias("wants")).distinct(), "rows")
+        scratch.drop(units)
+        read = scratch.keep(paragraph_members(docs, rows), "members")
+        sets = read.where("shingles is not null").select("content", "shingles").dropDuplicates(["content"])
+        links = scratch.keep(paragraph_links(met, sets, scratch, similarity, collisions), "links")
         reach = components(links, scratch).withColumnRenamed("node", "content")
-        classed = entries.join(reach, "content", "left").where("n > 1 or component is not null").select("content", "n", "keep", F.coalesce("component", "content").alias("component"))
+        classed = likely.join(reach, "content", "left").where("n > 1 or component is not null").select("content", "n", "keep", F.coalesce("component", "content").alias("component"))
         classed = scratch.keep(classed, "classed")
         least = classed.groupBy("component").agg(F.min("keep").alias("first"), F.sum("n").alias("rows"), F.count("*").alias("contents"))
-        total = units.count()
-        classes = scratch.keep(join_counted(classed, least, "component", "contents", total).select("content", "n", "first", "rows"), "classes")
-        members = join_counted(units.drop(*bands), classes, "content", "n", total).where("first is not null")
-        members = scratch.keep(members.select("doc_id", "text_key", "first_word", "n_words", "around", F.xxhash64("first").alias("class"), "first", "rows").distinct(), "members")
-        scratch.drop(units, entries)
+        classes = scratch.keep(join_counted(classed, least, "component", "contents", total or 0).select("content", "n", "first", "rows"), "classes")
+        members = join_counted(read.drop("shingles"), classes, "content", "n", total or 0).where("first is not null")
+        members = scratch.keep(members.select("doc_id", "text_key", "first_word", "n_words", "around", F.xxhash64("first").alias("class"), "first", "rows"), "classed-members")
         kept = members.where(place == F.col("first")).select("class", "rows", F.col("around").alias("kept_around")).dropDuplicates(["class"])
         # A window that overlaps the kept one is not its repetition.
         other = (place != F.col("first")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("first_word") < F.col("first.first_word") + F.col("first.n_words")))
-        met = join_counted(members.where(other).drop("rows"), kept, "class", "rows", total)
+        met = join_counted(members.where(other).drop("rows"), kept, "class", "rows", total or 0)
         none = F.lit(bytes(2 * (REACH - 1)))
         met = met.withColumn("more", _equal_words(F.coalesce("around", none), F.coalesce("kept_around", none)))
         spans = met.select("doc_id", "text_key", (F.col("first_word") - F.col("more.left")).alias("first_word"), (F.col("first_word") + F.col("n_words") + F.col("more.right")).alias("last_word"), F.col("first.doc_id").alias("kept_doc_id"), F.col("around").isNull().alias("line"))

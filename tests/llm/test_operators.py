@@ -111,6 +111,37 @@ def test_packing(spark, docs, rows, none):
     assert packing.pack_best_fit(none, path).count() == 0
 
 
+def test_ids_survive_beside_null(spark, vocabulary):
+    """Ids beyond 2 ** 53 next to a null one, clashing columns, and the digests of pieces."""
+    from tokenizers import Tokenizer
+    from zlib import crc32
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    big, long = 2**53 + 1, " ".join(f"w{k} and" for k in range(3000))
+    rows = [(big, "one two"), (None, "three"), (big + 2, long), (-big, None)]
+    df = spark.createDataFrame([(k, x, 5, "r") for k, x in rows], "doc_id long, text string, piece long, ids string")
+    made = packing.pack_best_fit(df, path).collect()
+    want = Counter()
+    for k, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        want.update((k, i, len(ids[at : at + 2048]), crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for i, at in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in made) == want
+    encoded = unigram.encode_texts(df, vocabulary).select("doc_id", "decoded", unigram.ids_digest().alias("crc"), "ids").collect()
+    assert {(r.doc_id, r.decoded) for r in encoded} == {(k, x or "") for k, x in rows}
+    assert all(r.crc == crc32(" ".join(map(str, r.ids)).encode()) for r in encoded)
+    assert {r.doc_id for r in unigram.count_tokens(df, vocabulary).collect()} == {k for k, _ in rows}
+
+
+def test_packing_is_near_the_bound(spark):
+    """Sequences of 2,048 by the lengths that real texts have: a third short, some at the limit."""
+    rng = np.random.default_rng(32)
+    lengths = Counter(np.minimum(2048, np.concatenate([rng.lognormal(6, 1, 20_000), rng.integers(1, 60, 5000), np.full(3000, 2048)]).astype(int) + 1).tolist())
+    plan = packing.plan_patterns(dict(lengths))
+    least = max(-(-sum(k * n for k, n in lengths.items()) // 2048), sum(n for k, n in lengths.items() if k > 1024))
+    assert sum(n for _, n in plan) <= 1.002 * least
+
+
 def test_chunks_equal_whole_texts():
     from pathlib import Path
 
@@ -271,8 +302,8 @@ def test_substring_buckets_are_checked_whole(spark, monkeypatch, block):
     texts = hub(np.random.default_rng(16), 100, 80, 2)
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {s.doc_id: (s.first_word, s.n_words, s.kept_doc_id) for s in substring.repeated_spans(df).collect()}
-    # Bands find a pair of 0.8 with a probability of 0.994; a text that they miss has the windows that are equal.
-    assert set(brute_classes(texts)) == {0} and sum(got[k] == (0, 100, 0) for k in range(1, 81)) >= 78 and set(got) == set(range(1, 81))
+    # Bands find a pair of 0.81 with a probability of 0.986; a text that they miss has the windows that are equal.
+    assert set(brute_classes(texts)) == {0} and sum(got[k] == (0, 100, 0) for k in range(1, 81)) >= 76 and set(got) == set(range(1, 81))
 
 
 def test_repeated_ids_and_clashing_names(spark):
@@ -323,10 +354,10 @@ def test_bands_find_similar_lines():
         a, b = ({tuple(x[k : k + 5]) for k in range(96)} for x in (base, other))
         if not 0.8 <= len(a & b) / len(a | b) < 0.9:
             continue
-        units = [u for u in substring.group_units(np.array([1, 2]), np.array([1, 2]), [" ".join(base), " ".join(other)], known, 25).to_pylist() if u["around"] is None]
+        units = [u for u in substring.group_units(np.array([1, 2]), np.array([1, 2]), [" ".join(base), " ".join(other)], known, 25).to_pylist() if u["n_words"] > substring.WINDOW]
         n += 1
         hit += any(units[0][f"b{k}"] == units[1][f"b{k}"] for k in range(substring.BANDS))
-    assert hit >= 0.97 * n
+    assert hit >= 0.96 * n
 
 
 def test_very_long_texts(spark):
@@ -361,9 +392,57 @@ def test_peeling_recovers_differences(spark):
     rng = np.random.default_rng(3)
     rows = [([int(x) for x in a], [int(x) for x in b]) for a, b in ((c[: n + d], np.concatenate([c[:n], c[n + d : n + 2 * d]])) for n, d in ((5, 0), (40, 3), (10, 6), (60, 40)) for c in [rng.integers(-(2**63), 2**63, n + 2 * d)])]
     df = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    got = df.select(F.expr(fingerprints.decode("a", "b", 16)).alias("d"), F.expr("size(a) - size(array_intersect(a, b))").alias("n")).collect()
+    cells = df.selectExpr("*", *[f"{fingerprints.sketch(x, n)} AS {x}{n}" for x in "ab" for n in ("16", "2", "1")])
+    got = cells.select(F.expr(fingerprints.decode("a16", "b16", "16")).alias("d"), F.expr("size(a) - size(array_intersect(a, b))").alias("n"), F.expr(fingerprints.decode("a1", "b1", "1")).alias("small"), F.expr(fingerprints.fold("a16", "16", "2")).alias("f"), "a2").collect()
     assert [(r.d.a, r.d.b) for r in got] == [(r.n, r.n) for r in got]
-    assert df.select(F.expr(fingerprints.decode("a", "b", 1)).alias("d")).collect()[3].d is None
+    assert got[3].small is None and all(r.f == r.a2 for r in got)
+    sized = df.selectExpr(f"{fingerprints.tables_for('a')} AS t", "a").collect()
+    for r in sized:
+        alone = spark.createDataFrame([(r.a, [])], "a array<long>, b array<long>").selectExpr(f"{fingerprints.sketch('a', str(r.t))} AS x", f"{fingerprints.sketch('b', str(r.t))} AS y")
+        d = alone.select(F.expr(fingerprints.decode("x", "y", str(r.t))).alias("d")).first().d
+        assert (d.a, d.b) == (len(r.a), 0)
+
+
+def brute_paragraphs(spark, texts):
+    """Sets of paragraphs by plain code over the engine's hash of strings and arrays."""
+    parts = [[x.strip(" ") for x in re.findall(r"[^.!?\n]{1,200}", t) if x.strip(" ")] for t in texts]
+    flat = spark.createDataFrame([(i, j, x) for i, p in enumerate(parts) for j, x in enumerate(p)], "i int, j int, x string").select("i", "j", F.xxhash64("x").alias("h")).orderBy("i", "j").collect()
+    runs = []
+    for i in range(len(texts)):
+        own, run = [r.h for r in flat if r.i == i], []
+        for k, h in enumerate(own):
+            run.append(h)
+            if h & fingerprints.GRAIN == 0 or k == len(own) - 1:
+                runs.append((i, tuple(run)))
+                run = []
+    return [{r for j, r in runs if j == i} for i in range(len(texts))]
+
+
+def test_likeness_is_that_of_the_paragraphs(spark):
+    rng = np.random.default_rng(31)
+    sentence = lambda: words(rng, int(rng.integers(3, 12))) + "."
+    texts = [" ".join(sentence() for _ in range(n)) for n in (1, 5, 30, 30, 200, 200, 3)] + ["", "no stop " * 300, None, "x" * 3000]
+    texts[3] = texts[2] + " " + sentence()
+    texts[5] = texts[4][: len(texts[4]) // 2] + " changed. " + texts[4][len(texts[4]) // 2 :]
+    df = spark.createDataFrame([(10 * k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(df, rows_per_part=3).collect()}
+    plain = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 4] + plain[(k + 1) % len(plain)][: len(t) // 4] for k, t in enumerate(plain)]
+    own, changed = brute_paragraphs(spark, plain), brute_paragraphs(spark, edited)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k in range(len(texts)):
+        assert abs(got[10 * k].near_edited - like(own[k], changed[k])) < 1e-9 and abs(got[10 * k].near_next - like(own[k], own[(k + 1) % len(own)])) < 1e-9
+    assert got[40].near_next > 0.9 and got[20].near_next > 0.8
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """An id that fills several ranges is split; the order stays total."""
+    rows = [(7, f"text {k}. more {k}") for k in range(60)] + [(k, f"own {k}.") for k in range(20, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.fingerprint_documents(df, rows_per_part=5).collect()
+    order = [r.t for r in df.select("doc_id", F.col("text").alias("t"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("u")).orderBy("doc_id", "u", "t").collect()]
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][: len(t) // 4]).encode()).hexdigest() for k, t in enumerate(order))
+    assert Counter(r.edited_sha256 for r in got) == want
 
 
 @pytest.fixture(scope="module")
@@ -424,6 +503,43 @@ def test_toxicity(spark, none):
     assert toxicity.score_toxicity(docs, known.limit(0), steps=5).where("score >= 0.5").count() == 0
 
 
+def test_forward_pass_is_that_of_plain_loops():
+    rng = np.random.default_rng(33)
+    model = toxicity.Model()
+    for k in ("b1", "b2", "b3", "c"):
+        model.p[k] += rng.normal(0, 0.2, model.p[k].shape).astype(np.float32)
+    for text in ("", "one", "one two", words(rng, 40)):
+        rows = toxicity.word_rows(toxicity.WordRows(), text)
+        total = float(model.p["c"][0])
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for at in range(len(rows) - max(toxicity.WIDTHS) + 1):
+                    own = sum(float((model.p["e"][rows[at + j, 0]] + model.p["e"][rows[at + j, 1]]) @ model.p[f"w{w}"][j * toxicity.DIM : (j + 1) * toxicity.DIM, f]) for j in range(w))
+                    best = max(best, own + float(model.p[f"b{w}"][f]))
+                total += best * float(model.p["v"][k * toxicity.FILTERS + f])
+        assert abs(model.score(rows) - 1 / (1 + np.exp(-total))) < 1e-5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_has_the_best_f1(seed):
+    rng = np.random.default_rng(seed)
+    scores, labels = rng.integers(5, 95, 60) / 100, rng.integers(0, 2, 60)
+    f1 = lambda t: 2 * (labels[scores >= t]).sum() / ((scores >= t).sum() + labels.sum())
+    assert f1(toxicity.best_threshold(scores, labels)) == max(f1(t) for t in scores)
+
+
+def test_toxicity_sample_is_bounded_and_steady(spark):
+    """Labels that disagree, ids that repeat and a text beyond the bound give one training set."""
+    rng = np.random.default_rng(34)
+    rows = [(k, words(rng, 30) + (" vile" if k % 3 == 0 else ""), "en") for k in range(200)] + [(5, "other text", "en"), (None, "vile", "en"), (300, "long " * 5000, "en")]
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(200)] + [(3, 1, 0), (6, 0, 0), (300, 1, 1), (None, 1, 1)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first = [toxicity.score_toxicity(docs.repartition(n), known.repartition(n), doc_id="id", steps=40, sample_chars=20_000).orderBy("id", "text").collect() for n in (2, 5)]
+    assert [r.score for r in first[0]] == [r.score for r in first[1]] and len(first[0]) == len(rows)
+
+
 def test_long_texts_score_alike():
     model, cache = toxicity.Model(), toxicity.WordRows()
     text = " ".join(f"w{k}" for k in range(500))
@@ -445,3 +561,140 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(k, 1, k % 2) for k in range(5)], T.StructType.fromDDL("doc_id long, quality int, toxic int")).limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {0, *range(2, 22)}
+
+
+def brute_lines(text):
+    """The lines of a text that pass, by the rules in plain words; and the characters lost and had."""
+    kept, lost, had = [], 0, 0
+    for line in (text or "").split("\n"):
+        bare = re.sub(r"[\x20\x09-\x0D]", "", line)
+        if not bare:
+            continue
+        had += len(bare)
+        symbols, bars = sum(c in "#*$%&|<>!^~=\\{}" for c in line), sum(c in "|>»•" for c in line)
+        letters, capitals = sum(c.isalpha() for c in line), sum(c.isupper() for c in line)
+        bad = 100 * symbols > 10 * len(bare) or (bars >= 3 and 3 * bars >= len(line) - len(bare) + 1) or (letters >= 20 and 100 * capitals > 60 * letters) or any(p in line.lower() for p in quality.BOILERPLATE)
+        if bad:
+            lost += len(bare)
+        else:
+            kept.append(line)
+    return "\n".join(kept), lost, had
+
+
+def brute_spans(rows, least_words=25, least_run=40):
+    """Repeated spans of (doc_id, text) by all pairs of paragraphs and words compared one by one."""
+    known = substring.WordHashes()
+    ids = np.array([k for k, _ in rows])
+    units = substring.group_units(ids, ids, [t for _, t in rows], known, least_words).to_pylist()
+    texts = {k: substring.text_words(t) for k, t in rows}
+    sets = []
+    for u in units:
+        w = texts[u["doc_id"]][u["first_word"] : u["first_word"] + u["n_words"]]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    label = list(range(len(units)))
+    for i in range(len(units)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    first = {}
+    for x, u in zip(label, units):
+        first[x] = min(first.get(x, (u["doc_id"], u["first_word"], u["n_words"])), (u["doc_id"], u["first_word"], u["n_words"]))
+    found = {}
+    for x, u in zip(label, units):
+        d, a, n = u["doc_id"], u["first_word"], u["n_words"]
+        fd, fa, fn = first[x]
+        if (d, a, n) == (fd, fa, fn) or (d == fd and a < fa + fn):
+            continue
+        lo, hi = a, a + n
+        if n == fn == substring.WINDOW:
+            while a - lo < 35 and lo > 0 and fa - (a - lo) > 0 and texts[d][lo - 1] == texts[fd][fa - (a - lo) - 1]:
+                lo -= 1
+            while hi - a - n < 35 and hi < len(texts[d]) and fa + hi - a < len(texts[fd]) and texts[d][hi] == texts[fd][fa + hi - a]:
+                hi += 1
+        found.setdefault(d, []).append((lo, hi, n > substring.WINDOW))
+    out = set()
+    for d, spans in found.items():
+        merged = []
+        for lo, hi, line in sorted(spans):
+            if merged and lo <= merged[-1][1]:
+                merged[-1] = [merged[-1][0], max(hi, merged[-1][1]), line or merged[-1][2]]
+            else:
+                merged.append([lo, hi, line])
+        out |= {(d, lo, hi - lo) for lo, hi, line in merged if line or hi - lo >= least_run}
+    return out
+
+
+def corpus(rng):
+    """Documents of every kind that the stages of the pipeline tell apart."""
+    def prose(n):
+        w = words(rng, n).split()
+        return "\n".join(" ".join(w[k : k + 40]) for k in range(0, n, 40))
+
+    passage, base = words(rng, 60), prose(200)
+    near = base.split(" ")
+    near[50] = "changed"
+    texts = [prose(int(n)) for n in rng.integers(80, 200, 24)]
+    texts += [base, base, " ".join(near), prose(60) + " " + passage + " " + prose(60), prose(70) + " " + passage + "\n" + prose(80), "short", None, "", prose(100) + "\nAll rights reserved", "\n".join(" | ".join(f"x{k}" for k in range(30)) for _ in range(4)), prose(90) + " vile1 " + prose(20), prose(60) + " " + passage + " " + prose(40)]
+    texts += [prose(60) + (" vile0 vile2 " if k % 2 else " ") + prose(30) for k in range(60)]
+    return [(k, t, "en" if k % 3 else "de", "s", len(t or "")) for k, t in enumerate(texts)]
+
+
+def test_substring_equals_all_pairs(spark):
+    rng = np.random.default_rng(43)
+    rows = [(k, t) for k, t, *_ in corpus(rng) if t][:36]
+    hub_texts = hub(rng, 60, 6, 1)
+    rows += [(100 + k, t) for k, t in enumerate(hub_texts)]
+    got = {(r.doc_id, r.first_word, r.n_words) for r in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_spans(rows) and len(got) > 6
+
+
+def test_each_stage_equals_plain_code(spark, tmp_path, monkeypatch):
+    """Every stage of the pipeline on the rows that its predecessor kept, against plain code."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(42)
+    rows = corpus(rng)
+    toxic = {k: int("vile" in (t or "")) for k, t, *_ in rows}
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, y) for k, y in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def after(name, before):
+        stages[name](spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        made = spark.read.parquet(f"{tmp_path}/{name}")
+        return made, sorted((r.doc_id, r.text) for r in made.collect()) if "text" in made.columns else made.collect()
+
+    docs, got = after("quality_rules", docs)
+    want = []
+    for k, t, *_ in rows:
+        clean, lost, had = brute_lines(t)
+        if not base_measures(t)[5] and 100 * lost <= 40 * had:
+            want.append((k, clean))
+    assert got == sorted(want) and docs.columns == [f.split()[0] for f in DOCS.split(", ")]
+
+    model, thresholds = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    langs = {k: lang for k, _, lang, *_ in rows}
+    want = [(k, t) for k, t in got if model.score(toxicity.word_rows(toxicity.WordRows(), t)) < thresholds.get(langs[k], 0.5)]
+    docs, got = after("toxicity", docs)
+    assert got == want and sum(toxic[k] for k, _ in got) < sum(toxic[k] for k, *_ in rows) / 3
+
+    label = brute_classes([t for _, t in got])
+    want = [x for i, x in enumerate(got) if label[i] == i]
+    assert len(want) < len(got)
+    docs, got = after("simhash_near_dedup", docs)
+    assert got == want
+
+    spans = {}
+    for d, a, n in brute_spans(got):
+        spans.setdefault(d, []).append((a, n))
+    assert spans
+    want = [(k, substring.cut_spans(t, spans[k]) if k in spans else t) for k, t in got]
+    docs, got = after("substring_dedup", docs)
+    assert got == sorted(x for x in want if x[1].split())
+
+    _, packed = after("best_fit_packing", docs)
+    assert {r.doc_id for r in packed} == {k for k, _ in got}
+    for s in {r.sequence_id for r in packed}:
+        own = sorted((r.offset, r.length) for r in packed if r.sequence_id == s)
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)]).tolist()[:-1] and sum(n for _, n in own) <= 2048
