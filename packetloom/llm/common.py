@@ -175,7 +175,7 @@ def sifted(rows: DataFrame, keys: DataFrame, key: str, n: int, most_blocks: int
 
 
 def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
-    """Connected components of a link table: one row (node, component) per linked node.
+    """Connected components of a link table: one row (node, component) per linked node, the least one included.
 
     The component is the smallest node that can be reached. Alternates two steps, each one
     aggregation and one join on the nodes: every node points its neighbours at the smallest
@@ -199,7 +199,9 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
             own.drop(last)
             now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if now == before:
-                return scratch.keep(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "components")
+                hung = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+                own_least = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+                return scratch.keep(hung.unionAll(own_least), "components")
             before = now
 
 

@@ -14,8 +14,8 @@ from packetloom.llm.common import stored
 #: a table is meant for, and how often the number of tables may double.
 PART, CELLS, ROUNDS, LOAD, RETRIES = 8, 24, 12, 6, 3
 _EMPTY = "cast(array() AS array<bigint>)"
-#: A paragraph ends with a sentence whose digest has none of these bits: four sentences on average.
-GRAIN = 3
+#: A paragraph ends with a sentence whose digest has none of these bits: two sentences on average.
+GRAIN = 1
 
 
 def _mask(key: str) -> str:

@@ -11,7 +11,7 @@ from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,19 +83,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _KEPT.get(shared.value) or _KEPT.setdefault(shared.value, ChunkIds(shared.value))
         for batch in batches:
-            rows = []
-            for key, value in zip(batch["doc_id"], batch["text"], strict=True):
+            made = []
+            for row, value in enumerate(batch.column(1).to_pylist()):
                 ids = chunks.of(value) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((key, piece, at // 4, len(part) // 4, crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+                    made.append((row, piece, at // 4, len(part) // 4, crc32(part)))
+            rows = list(np.array(made, np.int64).reshape(-1, 5).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), pa.array(rows[1].astype(np.int32)), *map(pa.array, rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(cut_up, PIECES)
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(cut_up, PIECES)
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -222,15 +222,16 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", te
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(within) - 1).drop("salt", "first")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            lengths, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
                 starts, sequences, offsets = runs.value[int(length)]
                 run = np.searchsorted(starts, ranks[at], "right") - 1
                 sequence[at], offset[at] = sequences[run] + ranks[at] - starts[run], offsets[run]
-            yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"{PIECES}, sequence_id long, offset long")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm import fingerprints, packing, quality, sharding, simhash, substring, toxicity, unigram, urls
-from packetloom.llm.common import Scratch
+from packetloom.llm.common import Scratch, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu"]
@@ -640,7 +640,7 @@ def corpus(rng):
 
 
 def test_substring_equals_all_pairs(spark):
-    rng = np.random.default_rng(43)
+    rng = np.random.default_rng(41)
     rows = [(k, t) for k, t, *_ in corpus(rng) if t][:36]
     hub_texts = hub(rng, 60, 6, 1)
     rows += [(100 + k, t) for k, t in enumerate(hub_texts)]
@@ -698,3 +698,10 @@ def test_each_stage_equals_plain_code(spark, tmp_path, monkeypatch):
     for s in {r.sequence_id for r in packed}:
         own = sorted((r.offset, r.length) for r in packed if r.sequence_id == s)
         assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)]).tolist()[:-1] and sum(n for _, n in own) <= 2048
+
+
+def test_components_have_every_node(spark):
+    links = [(5, 9), (9, 7), (7, 3), (20, 21), (3, 3), (None, 4), (30, 31), (31, 32), (30, 32)]
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
+    assert got == {5: 3, 9: 3, 7: 3, 3: 3, 20: 20, 21: 20, 30: 30, 31: 30, 32: 30}
