@@ -63,9 +63,12 @@ def clean_lines(docs: DataFrame, *, text: str = "text", min_words: int = 50, rep
     results; input columns with the names above are replaced.
     """
     docs = without(docs, *OWN)
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    # Input columns go by their place, so that none can clash with the names of the steps.
+    names = [F.col(f"in{k}").alias(c) for k, c in enumerate(docs.columns)]
+    raw = f"in{docs.columns.index(text)}"
+    docs = docs.toDF(*[f"in{k}" for k in range(len(names))])
     t = "t__"
-    step = docs.select(*names, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t))
+    step = docs.select("*", F.coalesce(F.col(raw), F.lit("")).alias(t))
     step = step.selectExpr("*", f"array_remove(split({t}, '[ \\\\t-\\\\r]+'), '') AS w__", f"filter(split({t}, '\\n'), x -> {_BARE.format('x')} <> '') AS l__")
     step = step.selectExpr("*", "size(w__) AS n__", "transform(slice(w__, 1, greatest(size(w__) - 2, 0)), (x, i) -> xxhash64(x, get(w__, i + 1), get(w__, i + 2))) AS h__")
     step = step.withColumn("d__", F.expr("size(array_distinct(h__)) < size(h__)"))
@@ -81,7 +84,7 @@ def clean_lines(docs: DataFrame, *, text: str = "text", min_words: int = 50, rep
         "cast(size(l__) - size(array_distinct(l__)) AS long) AS n_dup_lines", "cast(size(l__) AS long) AS n_lines", "cast(size(l__) - size(g__) AS long) AS n_bad_lines", f"CASE WHEN size(g__) = size(l__) THEN cast(char_length({_BARE.format(t)}) AS long) ELSE {chars.format('g__')} END AS good__",
     )
     step = step.selectExpr("*", f"(n_words < {min_words} or 100 * n_repeat_words > {repeat_percent} * n_words) AS base_failed", "word_chars AS line_chars", "word_chars - good__ AS lost_chars")
-    step = step.selectExpr("*", f"(not base_failed and 100 * lost_chars <= {lost_percent} * line_chars) AS kept", f"CASE WHEN `{text}` IS NOT NULL THEN array_join(g__, '\\n') END AS clean_text")
+    step = step.selectExpr("*", f"(not base_failed and 100 * lost_chars <= {lost_percent} * line_chars) AS kept", f"CASE WHEN {raw} IS NOT NULL THEN array_join(g__, '\\n') END AS clean_text")
     # A generator's columns keep a later filter from being pushed below and evaluated anew.
     return step.select(*names, F.inline(F.array(F.struct(*OWN))))
 

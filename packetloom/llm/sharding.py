@@ -32,7 +32,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, *, key: str = "doc_id
     Returns every input row and column plus size (UTF-8 bytes of the text and 8), shard,
     slot (from 0 without gaps in each shard) and grown_shard. A null text has size 8; a null
     key is a key like any other (its rows share a shard but not a bucket); repeated rows
-    are kept and spread over buckets by their place in the scan; an empty table gives an empty result; input columns with the names of these
+    are kept (rows equal in key and text share a bucket: nothing that a retry would see
+    otherwise tells them apart); an empty table gives an empty result; input columns with the names of these
     four are replaced. No row depends on another row's text, so copies and hot sources do
     not gather.
     """
@@ -42,8 +43,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, *, key: str = "doc_id
     total = docs.agg(F.sum(size)).first()[0] or 0
     parts = max(1, ceil(total / (shards * max(bucket_bytes, total // BUCKETS))))
     best = F.greatest(*[F.struct(_draw(key_col, s, seed).alias("h"), F.lit(s).alias("s")) for s in range(shards)])
-    dealt = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), size.alias("size"), best.alias("best"), _draw(key_col, shards, seed).alias("more"), F.xxhash64(F.lit(seed + 1), key_col, text_col).alias("mix"), (F.monotonically_increasing_id() % 64).alias("copy")).select(
-        "rec", "size", F.xxhash64("mix", "copy").alias("mix"), F.col("best.s").alias("shard"), F.when(F.col("more") > F.col("best.h"), F.lit(shards)).otherwise(F.col("best.s")).alias("grown_shard"), (F.col("best.s") * parts + F.pmod(F.xxhash64("mix", "copy"), F.lit(parts))).cast("long").alias("bucket")
+    dealt = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), size.alias("size"), best.alias("best"), _draw(key_col, shards, seed).alias("more"), F.xxhash64(F.lit(seed + 1), key_col, text_col).alias("mix")).select(
+        "rec", "size", "mix", F.col("best.s").alias("shard"), F.when(F.col("more") > F.col("best.h"), F.lit(shards)).otherwise(F.col("best.s")).alias("grown_shard"), (F.col("best.s") * parts + F.pmod("mix", F.lit(parts))).cast("long").alias("bucket")
     )
     counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("bucket")

@@ -59,6 +59,8 @@ def base_measures(t):
 def test_quality_measures(docs, rows, none):
     got = sorted((tuple(r[:6]) for r in quality.clean_lines(docs.withColumn("kept", F.lit("x"))).select(*quality.BASE).collect()))
     assert got == sorted(base_measures(r[1]) for r in rows)
+    clash = quality.clean_lines(docs.toDF("t__", "text", "w__", "h__", "g__")).orderBy("t__")
+    assert clash.columns[:5] == ["t__", "text", "w__", "h__", "g__"] and clash.select("t__", "text").collect() == docs.orderBy("doc_id").select("doc_id", "text").collect()
     assert quality.clean_lines(none).count() == 0
 
 
