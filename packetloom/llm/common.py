@@ -109,8 +109,11 @@ class Scratch:
             files.delete(where, True)
 
     def tidy(self) -> None:
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Only where executors are apart: what a session in one process leaves goes with it."""
+        master = self.spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def __enter__(self) -> Scratch:
         return self
