@@ -1,5 +1,6 @@
 """Every registered traffic query against DuckDB on the smallest tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from packetloom.queries import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def norm(x):
