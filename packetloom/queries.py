@@ -592,19 +592,19 @@ _SMALL = {"lstm_autoencoder": lambda: detectors.LstmAutoencoder(hidden=16, laten
 
 
 def _detect(name: str) -> Query:
-    digits = 4 if name == "local_outlier_factor" else 6
-
     def run(spark, sf_dir):
         df = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        if name == "local_outlier_factor":
+            return detectors.local_outliers(df, "embedding", "vec_id").where("anomaly_score is not null").withColumn("anomaly_score", F.round("anomaly_score", 4))
         model = detectors.fit_detector(df, "embedding", (detectors.DETECTORS | _SMALL)[name](), "vec_id")
-        return detectors.score_detector(df, "embedding", model, "vec_id").select("vec_id", F.round("anomaly_score", digits).alias("anomaly_score"))
+        return detectors.score_detector(df, "embedding", model, "vec_id").select("vec_id", F.round("anomaly_score", 6).alias("anomaly_score"))
 
     return run
 
 
 for _name in detectors.DETECTORS:
     QUERIES[_name] = _detect(_name)
-#: Every row is fitted, as long as there are no more than `fit_rows`; a scored row may be its own neighbour.
+#: Every row is fitted; a scored row may be its own neighbour.
 SQL["local_outlier_factor"] = """WITH e AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM e a, e b),
   n AS (SELECT a, b, d FROM d WHERE a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 35), r AS (SELECT a AS id, max(d) AS radius FROM n GROUP BY a), l AS (SELECT n.a AS id, 1 / (avg(greatest(n.d, r.radius)) + 1e-10) AS density FROM n JOIN r ON r.id = n.b GROUP BY n.a),
   s AS (SELECT a, b, d FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 35), o AS (SELECT s.a AS id, 1 / (avg(greatest(s.d, r.radius)) + 1e-10) AS own, avg(l.density) AS near FROM s JOIN r ON r.id = s.b JOIN l ON l.id = s.b GROUP BY s.a)
