@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -10,13 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import without
+from packetloom.llm.common import Scratch, sifted, small_batches, without
+from packetloom.operators.prepare import running_sums
 
 #: Rows of the embedding table (row 0 pads), its width, filter widths and filters of each.
 ROWS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
 #: Words of one step of scoring; a longer text is scored in overlapping steps.
 STEP = 1 << 17
 STRIP = b".,;:!?\"'()[]"
+#: Whole passes over the labelled rows at least, where they are dealt into several shards; sums that meet in one task.
+PASSES, MET = 4, 16
 
 
 class WordRows(dict):
@@ -76,8 +80,8 @@ class Model:
     def score(self, rows: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-(self.pooled(rows)[0] @ self.p["v"] + self.p["c"][0]))))
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, steps: int, rate: float = 0.01, batch: int = 32, seed: int = 5) -> Model:
-        """Adam on the logistic loss; only the windows that won the pooling get a gradient."""
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, steps: int, rate: float = 0.01, batch: int = 32, seed: int = 5, weights: np.ndarray | None = None) -> Model:
+        """Adam on the (weighted) logistic loss in whole passes; only the windows that won the pooling get a gradient."""
         rng, moments, step = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
         while step < steps:
             order = rng.permutation(len(texts))
@@ -89,6 +93,8 @@ class Model:
                     rows = texts[i]
                     best, where = self.pooled(rows)
                     error = 1 / (1 + np.exp(-(best @ self.p["v"] + self.p["c"][0]))) - labels[i]
+                    if weights is not None:
+                        error = error * weights[i]
                     grad["v"] += error * best
                     grad["c"] += error
                     back = error * self.p["v"] * (best > 0)
@@ -134,41 +140,114 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2, 0.02, 0.98))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, steps: int = 800, sample_chars: int = 40_000_000) -> tuple[Model, dict[str, float]]:
-    """Fits the model and one threshold per language on a bounded sample of labelled rows.
+def best_thresholds(scored: DataFrame) -> dict[str, float]:
+    """`best_threshold` of each language's rows (lang, score, toxic), without all scores of one in one task."""
+    counted = scored.groupBy("lang", (-F.col("score")).alias("s")).agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
+    ranked = running_sums(counted, ["s"], {"n_before": F.col("n"), "hits_before": F.col("hits")}, ("lang",)).select("lang", "s", (F.col("n_before") + F.col("n")).alias("n"), (F.col("hits_before") + F.col("hits")).alias("hits"))
+    whole = scored.groupBy("lang").agg(F.sum("toxic").alias("all_hits"), F.count("*").alias("all"))
+    f1 = 2 * F.col("hits") / (F.col("n") + F.col("all_hits"))
+    best = ranked.join(whole.where("all_hits > 0 and all_hits < all"), "lang").groupBy("lang").agg(F.max(F.struct(f1.alias("f1"), (-F.col("s")).alias("score")))["score"].alias("high"))
+    below = ranked.join(best, "lang").groupBy("lang", "high").agg(F.max(F.when(-F.col("s") < F.col("high"), -F.col("s"))).alias("low"))
+    found = whole.select("lang").join(below, "lang", "left").orderBy("lang").collect()
+    return {r["lang"]: 0.5 if r["high"] is None else float(np.clip((r["high"] + (r["low"] or 0)) / 2, 0.02, 0.98)) for r in found}
 
-    Only rows whose crc32(doc_id as text) mod 5 is not 0 are used; up to half of `sample`
-    toxic and half other ones, those with the smallest seeded hash of their doc_id, as long
-    as their whole texts have `sample_chars` / 2 characters or fewer in all (a text that would exceed
-    it is passed over). They are drawn from ids and lengths alone and their texts fetched by
-    a broadcast of at most `sample` ids, so no text is shuffled. Remainder 1 serves for the
-    thresholds, 2 to 4 for the model. The two bounds limit what the driver holds, whatever
-    the table's size. A document with labels that differ counts as toxic if one says so; of
-    texts that share a doc_id the smallest one trains.
+
+def _fit_shards(packed: DataFrame, model: Model, dealt: int, weights: tuple[float, float], steps: int, rounds: int) -> Model:
+    """Every round starts each shard from the same model and takes the mean of what they learned.
+
+    A row of the embedding table counts for the shards that have its words. Sums of up to
+    `MET` shards meet in a task, again and again, so the driver gets one, whatever their number.
     """
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    there = docs.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    known = known.withColumn("fold", fold).where("fold <> 0").join(there, "doc_id").withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
-    drawn = []
-    for kind in (1, 0):
-        room = sample_chars // 2
-        for r in known.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(sample // 2).collect():
-            if r["n"] <= room:
-                room -= r["n"]
-                drawn.append((r["doc_id"], r["fold"], r["toxic"], r["h"]))
-    chosen = docs.sparkSession.createDataFrame(drawn, "doc_id long, fold long, toxic int, h long")
-    found = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "fold", "toxic", "h").agg(F.min(F.struct("text", "lang")).alias("t"))
-    taken = sorted(found.select("t.text", "t.lang", "fold", "toxic", "h").collect(), key=lambda r: (r["toxic"], r["h"]))
-    cache = WordRows()
-    texts, y, fit = [word_rows(cache, r["text"]) for r in taken], np.array([r["toxic"] for r in taken], np.float32), np.array([r["fold"] != 1 for r in taken], bool)
-    model = Model()
-    if 0 < y[fit].sum() < fit.sum():
-        model.fit([t for t, f in zip(texts, fit, strict=True) if f], y[fit], steps)
-    else:
-        model.p["c"][0] = -4
-    scores, lang = np.array([model.score(t) for t, f in zip(texts, fit, strict=True) if not f]), np.array([r["lang"] or "" for r, f in zip(taken, fit, strict=True) if not f])
-    return model, {k: best_threshold(scores[lang == k], y[~fit][lang == k]) for k in sorted(set(lang))}
+    spark, shards, names = packed.sparkSession, packed.count(), [k for k in model.p if k != "e"]
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("shard")
+        total = sum(np.frombuffer(v) for v in parts["learned"])
+        return pd.DataFrame({"shard": [parts["shard"].iloc[0] // MET], "learned": [total.tobytes()]})
+
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def learn(batches: Iterator[pd.DataFrame], shared=shared, turn=turn) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples():
+                    own, before = Model(), shared.value.p
+                    own.p = {k: v.copy() for k, v in before.items()}
+                    words, labels = np.frombuffer(r.words, np.uint16).reshape(-1, 2).astype(np.int32), np.frombuffer(r.labels, np.float32)
+                    texts = np.split(words, np.cumsum(np.frombuffer(r.sizes, np.int64))[:-1])
+                    own.fit(texts, labels, steps, seed=5 + turn * dealt + r.shard, weights=np.where(labels > 0, weights[1], weights[0]).astype(np.float32))
+                    change = {k: v.astype(float) - before[k] for k, v in own.p.items()}
+                    learned = np.concatenate([*[change[k].ravel() for k in names], change["e"].ravel(), change["e"].any(1).astype(float)])
+                    yield pd.DataFrame({"shard": [r.shard], "learned": [learned.tobytes()]})
+
+        made, left = packed.mapInPandas(learn, "shard long, learned binary"), dealt
+        while left > 1:
+            made, left = made.groupBy(F.expr(f"shard div {MET}").alias("met")).applyInPandas(added, "shard long, learned binary"), ceil(left / MET)
+        with small_batches(spark):
+            total, at, after = np.frombuffer(made.collect()[0]["learned"]), 0, Model()
+        shared.destroy()
+        for k in names:
+            size = model.p[k].size
+            after.p[k], at = (model.p[k] + total[at : at + size].reshape(model.p[k].shape) / shards).astype(np.float32), at + size
+        e, touched = total[at : at + ROWS * DIM].reshape(ROWS, DIM), total[at + ROWS * DIM :]
+        after.p["e"] = (model.p["e"] + e / np.maximum(touched, 1)[:, None]).astype(np.float32)
+        model = after
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, *, shard_rows: int = 4000, steps: int = 800, sample_chars: int = 40_000_000) -> tuple[Model, dict[str, float]]:
+    """Fits the model and one threshold per language on all labelled rows.
+
+    Only rows whose crc32(doc_id as text) mod 5 is not 0 are used, but each of those, with its
+    whole text: remainder 1 serves for the thresholds, 2 to 4 for the model. Texts are read as
+    words once, and dealt by a hash of their doc_id into shards of `shard_rows` rows and
+    `sample_chars` characters on average, which bounds what a task holds; the driver holds the
+    model. A single shard makes `steps` steps and ends its pass; more of them make as many
+    in all, `PASSES` passes at least, and meet after each (`_fit_shards`). Both kinds of
+    labels have the same weight in all. A document with labels that differ counts as toxic if
+    one says so; of texts that share a doc_id the smallest one trains.
+    """
+    spark = docs.sparkSession
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
+    known = known.withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5).where("fold <> 0")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordRows()
+        for batch in batches:
+            batch["words"] = [word_rows(cache, t).astype(np.uint16).tobytes() for t in batch["text"]]
+            yield batch[["doc_id", "toxic", "fold", "lang", "chars", "words"]]
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["h", "doc_id"])
+        sizes = np.array([len(w) // 4 for w in part["words"]], np.int64)
+        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "labels": [part["toxic"].to_numpy(np.float32).tobytes()], "sizes": [sizes.tobytes()], "words": [b"".join(part["words"])]})
+
+    with Scratch(spark) as scratch:
+        known = scratch.keep(known, "labels")
+        there = sifted(docs.where(F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)), known.select("doc_id"), "doc_id", known.count())
+        found = there.join(known, "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min(F.struct("text", "lang")).alias("t"))
+        texts = found.select("doc_id", "toxic", "fold", F.coalesce("t.lang", F.lit("")).alias("lang"), F.length("t.text").cast("long").alias("chars"), "t.text")
+        texts = scratch.keep(texts.mapInPandas(read, "doc_id long, toxic int, fold long, lang string, chars long, words binary"), "words")
+        fit, model = texts.where("fold <> 1"), Model()
+        n, hits, chars = fit.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+        if 0 < hits < n:
+            shards = max(ceil(n / shard_rows), ceil(chars / sample_chars))
+            dealt = fit.withColumn("h", F.xxhash64(F.lit(17), "doc_id")).withColumn("shard", F.pmod("h", F.lit(shards)))
+            packed = dealt.groupBy("shard").applyInPandas(pack, "shard long, labels binary, sizes binary, words binary")
+            packed = scratch.keep(packed.repartition(shards), "shards")
+            weights = (n / (2 * (n - hits)), n / (2 * hits))
+            rounds = 1 if shards == 1 else max(PASSES, ceil(steps * 32 / n))
+            model = _fit_shards(packed, model, shards, weights, steps if shards == 1 else 1, rounds)
+        else:
+            model.p["c"][0] = -4
+        shared = spark.sparkContext.broadcast(model)
+
+        @F.pandas_udf("double")
+        def score(words: pd.Series) -> pd.Series:
+            return pd.Series([shared.value.score(np.frombuffer(w, np.uint16).reshape(-1, 2).astype(np.int32)) for w in words], dtype=float)
+
+        scored = scratch.keep(texts.where("fold = 1").select("lang", "toxic", score("words").alias("score")), "scored")
+        return model, best_thresholds(scored)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options: int) -> DataFrame:

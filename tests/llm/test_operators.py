@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -542,6 +543,23 @@ def test_toxicity_sample_is_bounded_and_steady(spark):
     assert [r.score for r in first[0]] == [r.score for r in first[1]] and len(first[0]) == len(rows)
 
 
+@pytest.mark.parametrize("chars", [400, 40])
+def test_toxicity_learns_from_every_labelled_row(spark, chars):
+    """Every text is a word of its own, so each one that trains moves its word's embedding."""
+    rows = [(k, f"u{k}q", "en" if k % 2 else "de") for k in range(300)] + [(300, "longest" * 100, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k, *_ in rows], "doc_id long, quality int, toxic int")
+    model, thresholds = toxicity.train(docs, known, steps=1, sample_chars=chars)
+    fold, cache, first = {k: crc32(str(k).encode()) % 5 for k, *_ in rows}, toxicity.WordRows(), toxicity.Model()
+    at = {k: toxicity.word_rows(cache, t) for k, t, _ in rows}
+    moved = {k for k in at if (model.p["e"][at[k][0, 0]] != first.p["e"][at[k][0, 0]]).any()}
+    assert moved >= {k for k in at if fold[k] > 1}
+    for lang in ("de", "en"):
+        checked = [k for k, _, name in rows if fold[k] == 1 and name == lang]
+        scores = np.array([model.score(at[k]) for k in checked])
+        assert thresholds[lang] == pytest.approx(toxicity.best_threshold(scores, np.array([int(k % 3 == 0) for k in checked])), abs=1e-12)
+
+
 def test_long_texts_score_alike():
     model, cache = toxicity.Model(), toxicity.WordRows()
     text = " ".join(f"w{k}" for k in range(500))
