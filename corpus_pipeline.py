@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold of their language."""
+    """Documents below the toxicity threshold of their language; all labels of the documents left train."""
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).where("not toxic").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
