@@ -14,8 +14,10 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six characters that part words, as every contract of this subpackage has them.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -24,6 +26,8 @@ BLANK_CLASS = r"[\x20\x09-\x0D]+"
 WORDS = 8
 #: Keys that more than one row in HOT_SHARE bears are at most HOT_SHARE; their entries are broadcast.
 HOT_SHARE, HOT_ROWS = 2000, 100
+#: Links (16 bytes each) up to which one task finds their components; more take rounds of joins.
+FEW_LINKS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +72,31 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def trim_native(spark: SparkSession) -> bool:
+    """Hands free native memory of the driver's JVM back to the system, and tells if that JVM can.
+
+    Compilers, planners and network threads each free into an arena of their own, which the C
+    library keeps; over a thousand stages that grows to hundreds of MB beside the heap.
+    """
+    jvm, of = spark._jvm, spark._jvm.java.lang.Class.forName
+
+    def array(kind, *values):
+        made = spark.sparkContext._gateway.new_array(kind, len(values))
+        for k, value in enumerate(values):
+            made[k] = value
+        return made
+
+    # By the public interface: the server's own class is not open to calls from outside.
+    types = [of(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *types))
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, name, "systemTrimNativeHeap", None, None))
+    except Py4JJavaError:  # not known before Java 17.0.9, or elsewhere than on Linux
+        return False
+    return True
+
+
 def _written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/packetloom-{name}-{uuid.uuid4().hex}"
@@ -89,7 +118,7 @@ class Scratch:
 
     Written tables cut the lineage and outlive executors. What an operator returns must not
     read them: its last step is `stored`. Leaving also lets the driver collect its garbage,
-    without which Spark keeps the files of finished shuffles.
+    without which Spark keeps the files of finished shuffles, and give free native memory back.
     """
 
     def __init__(self, spark: SparkSession):
@@ -114,6 +143,7 @@ class Scratch:
         if not master.startswith("local") or master.startswith("local-cluster"):
             gc.collect()
             self.spark._jvm.System.gc()
+            trim_native(self.spark)
 
     def __enter__(self) -> Scratch:
         return self
@@ -177,10 +207,31 @@ def sifted(rows: DataFrame, keys: DataFrame, key: str, n: int, most_blocks: int
     return asked.join(F.broadcast(filled), F.pmod("h__", F.lit(blocks)) == F.col("block__")).where(all_set).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node that each node of the links (u, v) reaches, by union-find."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    ends = np.concatenate([np.zeros(0, np.int64), *(u for u, _ in parts), *(v for _, v in parts)])
+    nodes, codes = np.unique(ends, return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    half = len(ends) // 2
+    for a, b in zip(codes[:half].tolist(), codes[half:].tolist(), strict=True):
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    least = np.array([root(i) for i in range(len(up))], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least])], names=["node", "component"])
+
+
 def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of a link table: one row (node, component) per linked node, the least one included.
 
-    The component is the smallest node that can be reached. Alternates two steps, each one
+    The component is the smallest node that can be reached. Up to FEW_LINKS distinct links
+    between whole numbers meet in one task. Beyond that two steps alternate, each one
     aggregation and one join on the nodes: every node points its neighbours at the smallest
     node it sees (large star), then every node hangs its smaller neighbours below the
     smallest (small star). The rounds grow with the logarithm of the longest path. Links are
@@ -191,6 +242,8 @@ def components(links: DataFrame, scratch: Scratch, left: str = "a", right: str =
     with Scratch(links.sparkSession) as own:
         edges = own.keep(links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct(), "links")
         total = edges.count()
+        if total <= FEW_LINKS and edges.schema["u"].dataType == T.LongType():
+            return scratch.keep(edges.coalesce(1).mapInArrow(_joined, "node long, component long"), "components")
         before = None
         while True:
             both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

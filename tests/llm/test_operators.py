@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm import fingerprints, packing, quality, sharding, simhash, substring, toxicity, unigram, urls
+from packetloom.llm import common, fingerprints, packing, quality, sharding, simhash, substring, toxicity, unigram, urls
 from packetloom.llm.common import Scratch, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -725,3 +726,41 @@ def test_components_have_every_node(spark):
     with Scratch(spark) as scratch:
         got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
     assert got == {5: 3, 9: 3, 7: 3, 3: 3, 20: 20, 21: 20, 30: 30, 31: 30, 32: 30}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_LINKS", few)
+    rng, tracker = np.random.default_rng(8), spark.sparkContext.statusTracker()
+    chain, star = [(k, k + 1) for k in range(300)], [(1000, 1001 + k) for k in range(300)]
+    links = [*chain, *star, *(rng.integers(2000, 2400, (260, 2)).tolist())]
+    links = [links[k] if k % 2 else links[k][::-1] for k in rng.permutation(len(links)).tolist()]
+    near = {x: {x} for link in links for x in link if link[0] != link[1]}
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    least = {}
+    for x in sorted(near):
+        todo = [] if x in least else [x]
+        while todo:
+            if (y := todo.pop()) not in least:
+                least[y] = x
+                todo += near[y]
+    spark.sparkContext.setJobGroup(f"components-{few}", "")
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
+    jobs = len(tracker.getJobIdsForGroup(f"components-{few}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == least
+    assert not few or jobs <= 8, jobs
+
+
+def test_native_memory_of_the_driver_goes_back(spark, monkeypatch):
+    assert common.trim_native(spark)
+    trimmed = []
+    monkeypatch.setattr(common, "trim_native", trimmed.append)
+    Scratch(spark).tidy()
+    apart = SimpleNamespace(sparkContext=SimpleNamespace(master="local-cluster[3,2,3000]"), _jvm=spark._jvm)
+    Scratch(apart).tidy()
+    assert trimmed == [apart]
