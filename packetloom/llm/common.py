@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from functools import wraps
 from math import ceil
 
 import numpy as np
@@ -153,6 +155,24 @@ class Scratch:
         self.tidy()
 
 
+def release_worker() -> None:
+    """Hands free memory of this Python process back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(step: Callable) -> Callable:
+    """`step` over a task's batches, with `release_worker` when its rows have ended."""
+
+    @wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        release_worker()
+
+    return run
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops input columns that bear the name of an output column (whatever their case)."""
     taken = {n.lower() for n in names}
@@ -322,4 +342,4 @@ def similar_links(entries: DataFrame, keys: list[str], similarity: float, most:
                 at, deep = end, deep + width
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return grouped.mapInArrow(check, "a long, b long")
+    return grouped.mapInArrow(releasing(check), "a long, b long")

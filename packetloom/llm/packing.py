@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import stored
+from packetloom.llm.common import releasing, stored
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
             rows = list(np.array(made, np.int64).reshape(-1, 5).T)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), pa.array(rows[1].astype(np.int32)), *map(pa.array, rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(cut_up, PIECES)
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(releasing(cut_up), PIECES)
 
 
 def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -234,4 +234,4 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", te
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(releasing(place), f"{PIECES}, sequence_id long, offset long")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import Scratch, components, join_counted, similar_links, stored, without
+from packetloom.llm.common import Scratch, components, join_counted, releasing, similar_links, stored, without
 
 #: Rows of a tile, rows of it that are compared at once, and population counts that share a tile at a wide radius.
 TILE, STRIP, COUNT_STEP = 4096, 64, 6
@@ -172,7 +172,7 @@ def fingerprint_links(nodes: DataFrame, scratch: Scratch, radius: int, blocks: i
             if out:
                 yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
 
-    return tile_pairs(nodes, scratch, radius, blocks).select("id", "fp", "id_b", "fp_b", "same").mapInPandas(compare, "a long, b long")
+    return tile_pairs(nodes, scratch, radius, blocks).select("id", "fp", "id_b", "fp_b", "same").mapInPandas(releasing(compare), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
@@ -228,7 +228,7 @@ def _candidate_groups(nodes: DataFrame, scratch: Scratch, radius: int, similarit
                 if met.size:
                     yield pd.DataFrame({"pair": pair, "grp": roots[met], "side": 0 if same else (met >= n).astype(np.int64), "id": np.asarray(both)[met]})
 
-    return tile_pairs(nodes, scratch, radius, 1, step=COUNT_STEP, ratio=similarity, extra=SIEVES).mapInPandas(compare, "pair long, grp long, side long, id long")
+    return tile_pairs(nodes, scratch, radius, 1, step=COUNT_STEP, ratio=similarity, extra=SIEVES).mapInPandas(releasing(compare), "pair long, grp long, side long, id long")
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 22, similarity: float = 0.8, most: int = 4096) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.llm.common import Scratch, components, join_counted, sifted, similar_links, stored, without
+from packetloom.llm.common import Scratch, components, join_counted, releasing, sifted, similar_links, stored, without
 
 #: Words of a shingle; bands and rows of a band: at a Jaccard similarity of 0.8 a pair
 #: collides with a probability of 1 - (1 - 0.8 ** 2) ** 4 = 0.983, at 0.9 of 0.9987.
@@ -200,7 +200,7 @@ def paragraph_units(docs: DataFrame, least_words: int) -> DataFrame:
                         yield made.slice(at, SLICE)
                     lo, size = k + 1, 0
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text").mapInArrow(make, UNITS)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text").mapInArrow(releasing(make), UNITS)
 
 
 def group_members(texts: list[str], counts: np.ndarray, first: np.ndarray, sizes: np.ndarray, wants: np.ndarray, known: WordHashes) -> tuple[pa.Array, pa.Array]:
@@ -251,7 +251,7 @@ def paragraph_members(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     yield made.slice(at, SLICE)
 
     there = docs.where("doc_id is not null and text is not null").join(wanted, ["doc_id", "text_key"])
-    return there.select("doc_id", "text_key", "text", *[f"some.{n}" for n in names]).mapInArrow(read, MEMBERS)
+    return there.select("doc_id", "text_key", "text", *[f"some.{n}" for n in names]).mapInArrow(releasing(read), MEMBERS)
 
 
 def _islands(spans: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import Scratch, sifted, small_batches, without
+from packetloom.llm.common import Scratch, releasing, sifted, small_batches, without
 from packetloom.operators.prepare import running_sums
 
 #: Rows of the embedding table (row 0 pads), its width, filter widths and filters of each.
@@ -180,7 +180,7 @@ def _fit_shards(packed: DataFrame, model: Model, dealt: int, weights: tuple[floa
                     learned = np.concatenate([*[change[k].ravel() for k in names], change["e"].ravel(), change["e"].any(1).astype(float)])
                     yield pd.DataFrame({"shard": [r.shard], "learned": [learned.tobytes()]})
 
-        made, left = packed.mapInPandas(learn, "shard long, learned binary"), dealt
+        made, left = packed.mapInPandas(releasing(learn), "shard long, learned binary"), dealt
         while left > 1:
             made, left = made.groupBy(F.expr(f"shard div {MET}").alias("met")).applyInPandas(added, "shard long, learned binary"), ceil(left / MET)
         with small_batches(spark):
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, *, shard_rows: int = 4000, steps:
         there = sifted(docs.where(F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)), known.select("doc_id"), "doc_id", known.count())
         found = there.join(known, "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min(F.struct("text", "lang")).alias("t"))
         texts = found.select("doc_id", "toxic", "fold", F.coalesce("t.lang", F.lit("")).alias("lang"), F.length("t.text").cast("long").alias("chars"), "t.text")
-        texts = scratch.keep(texts.mapInPandas(read, "doc_id long, toxic int, fold long, lang string, chars long, words binary"), "words")
+        texts = scratch.keep(texts.mapInPandas(releasing(read), "doc_id long, toxic int, fold long, lang string, chars long, words binary"), "words")
         fit, model = texts.where("fold <> 1"), Model()
         n, hits, chars = fit.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
         if 0 < hits < n:

@@ -764,3 +764,14 @@ def test_native_memory_of_the_driver_goes_back(spark, monkeypatch):
     apart = SimpleNamespace(sparkContext=SimpleNamespace(master="local-cluster[3,2,3000]"), _jvm=spark._jvm)
     Scratch(apart).tidy()
     assert trimmed == [apart]
+
+
+def test_workers_release_memory_after_their_rows(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "release_worker", lambda: done.append(len(seen)))
+    seen = []
+    for x in common.releasing(lambda batches: (2 * b for b in batches))(iter([1, 2, 3])):
+        seen.append(x)
+    assert seen == [2, 4, 6] and done == [3]
+    monkeypatch.undo()
+    common.release_worker()
